@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pii, quality, urls
+from . import licenses, mixing, packing, pii, quality, tokenfile, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,26 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.measure(_table(spark, sf_dir, "documents"))
+
+
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "words")
+    return tokenfile.read(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "gaps")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,5 +62,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("__spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op3_licenses, op6_urls, op8_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op8_pii, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
