@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, pii, quality, tokenfile, urls
+from . import jaccard, licenses, mixing, packing, pii, quality, tokenfile, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *counts, base_failed.alias("base_failed"), (~base_failed & F.col("__rejected_by").isNull()).alias("kept"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -67,5 +71,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("__spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
