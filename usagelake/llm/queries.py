@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, pii, quality, tokenfile, urls, vectors
+from . import jaccard, licenses, mixing, packing, pii, quality, substrings, tokenfile, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("__spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {}
