@@ -317,10 +317,9 @@ def _across(labels: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return _compare(own.join(sent, ["top", "mixed", "mark", "chunk"]).join(sets, "node").select("group", "node", "elements"), threshold)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction | float = Fraction(4, 5), seeds: int = 3) -> DataFrame:
-    """For each row: id, n_shingles and component_id (the smallest id reachable by links; without shingles its own)."""
+def _rooted(rows: DataFrame, n: int, threshold: Fraction | float, seeds: int) -> DataFrame:
+    """(id, text_hash, n, root) for each of rows (id, text)."""
     threshold = Fraction(threshold).limit_denominator(1000)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for seed in range(seeds):
         nodes = _nodes(rows, n, seed)
         if nodes.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
@@ -331,14 +330,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     wanted = cut(nodes.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(candidates.select("node"), "node", "left_semi").select("text_hash"), "jaccard-wanted")
     sets = cut(_sets(rows, wanted, n, seed), "jaccard-sets")
     roots = components(_verified(candidates, sets, threshold))
-    joined = cut(nodes.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root")), "jaccard-roots")
+    return cut(nodes.join(roots, "node", "left").select("id", "text_hash", "n", F.coalesce("root", "node").alias("root")), "jaccard-roots")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction | float = Fraction(4, 5), seeds: int = 3) -> DataFrame:
+    """For each row: id, n_shingles and component_id (the smallest id reachable by links; without shingles its own)."""
+    joined = _rooted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, threshold, seeds)
     least = cut(joined.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-least")
     out = joined.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction | float = Fraction(4, 5)) -> DataFrame:
-    """docs' rows with the smallest id of their component, one row for each such id, in docs' columns."""
-    found = classes(docs, id_col, text_col, n, threshold)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction | float = Fraction(4, 5), seeds: int = 3) -> DataFrame:
+    """docs with one row of each component, that of the smallest id (of equal ids, the smallest hash of the text), in docs'
+    columns. Rows without shingles stay."""
+    joined = _rooted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, threshold, seeds)
+    first = joined.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.id", "k.text_hash")
+    kept = cut(first.select(F.col("id").alias("__kept"), F.col("text_hash").alias("__hash")), "jaccard-kept")
+    same = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text_col) == F.col("__hash"))
+    out = docs.join(F.broadcast(kept) if size_bytes(kept) <= BROADCAST_BYTES else kept, same, "left_semi")
+    again = joined.join(kept, joined["id"].eqNullSafe(F.col("__kept")) & (F.col("text_hash") == F.col("__hash")), "left_semi").groupBy("id", "text_hash").count().where("count > 1")
+    if not again.isEmpty():  # only rows that agree in id and text are left to tell apart
+        out = out.dropDuplicates([id_col, text_col])
+    if joined.where("n = 0").isEmpty():
+        return out
+    return out.unionAll(docs.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
