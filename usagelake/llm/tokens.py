@@ -2,42 +2,80 @@
 
 A piece ends where no token can go across, so a text's ids are those of its pieces in order; most pieces have been seen
 before. `words`: for tokenizers that drop white space, pieces are words. `gaps`: for byte-level ones, a piece is white
-space and the word after it. `whole`: no pieces. The memo is bounded: it is emptied when it has max_pieces.
+space and the word after it. `whole`: no pieces. The memo has two generations of max_pieces at most: when the young one is
+full it becomes the old one, and pieces of the old one that are met again move to the young one.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 #: The characters that the tokenizers' patterns take for white space.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _GAPS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: Where a space isn't just one between two words, or where there is other white space than ASCII's.
+_ODD = ("  ", *(f"{x} " for x in "\t\n\r\x0b\x0c"), *(f" {x}" for x in "\t\n\r\x0b\x0c"), *"\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode().split()
+
+
+def _gaps(text: str) -> list[str]:
+    if not text or text[0] == " " or text[-1] == " " or any(x in text for x in _ODD):
+        return _GAPS.findall(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 class Encoder:
-    def __init__(self, path: str, cut: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, cut: str, max_pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self._np, self._tokenizer, self._max = np, Tokenizer.from_file(path), max_pieces
-        self._pieces = {"words": lambda t: t.encode().split(), "gaps": _GAPS.findall, "whole": lambda t: [t] if t else []}[cut]
-        self._memo: dict[str | bytes, bytes] = {}
+        self._tokenizer, self._max = Tokenizer.from_file(path), max_pieces
+        self._pieces = {"words": _words, "gaps": _gaps, "whole": lambda t: [t] if t else []}[cut]
+        self._lowers = cut == "words"
+        self._young: dict[str | bytes, bytes] = {}
+        self._old: dict[str | bytes, bytes] = {}
+
+    def _learn(self, new: set[str | bytes]) -> None:
+        """Puts all of new into the young generation. A full stop or comma after a letter is a token of its own in every
+        tokenizer with pieces, so such a word is learnt without it."""
+        young, old = self._young, self._old
+        plain: dict[str | bytes, tuple[str, str]] = {}
+        for p in new:
+            if p in old:
+                young[p] = old[p]
+                continue
+            s = p if isinstance(p, str) else p.decode()
+            mark = s[-1] if len(s) > 2 and s[-1] in ",." and s[-2].lower().isalpha() else ""
+            s = s[: len(s) - len(mark)]
+            plain[p] = (s.lower() if self._lowers and s.isascii() else s, mark)
+        ask = list({s for s, _ in plain.values()} | {m for _, m in plain.values() if m})
+        ids: dict[str, bytes] = {}
+        for i in range(0, len(ask), 10_000):
+            part = ask[i : i + 10_000]
+            for s, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found = e.ids
+                ids[s] = struct.pack(f"<{len(found)}I", *found)
+        for p, (s, mark) in plain.items():
+            young[p] = ids[s] + ids[mark] if mark else ids[s]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        memo = self._memo
-        cuts = [self._pieces(t) for t in texts]
-        new = list({p for c in cuts for p in c if p not in memo})
-        if len(memo) + len(new) > self._max:
-            memo.clear()
-            new = list({p for c in cuts for p in c})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self._tokenizer.encode_batch_fast([p if isinstance(p, str) else p.decode() for p in part], add_special_tokens=False), strict=True):
-                memo[p] = self._np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([memo[p] for p in c]) for c in cuts]
+        out = []
+        for i in range(0, len(texts), 256):
+            cuts = [self._pieces(t) for t in texts[i : i + 256]]
+            if new := set().union(*cuts).difference(self._young):
+                if len(self._young) + len(new) > self._max:  # a generation begins; it needs all of these pieces
+                    self._old, self._young, new = self._young, {}, set().union(*cuts)
+                self._learn(new)
+            at = self._young.__getitem__
+            out += [b"".join(map(at, c)) for c in cuts]
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -53,9 +91,9 @@ def encoder(path: str, cut: str) -> Encoder:
 def slices(batch, max_bytes: int = 4_000_000):
     """Parts of an Arrow batch of (id, text) as (ids, texts), bounded by bytes of text so that few ids are held at once."""
     ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0), batch.column(1), strict=True):
-        t = t.as_py() or ""
-        ids.append(i.as_py())
+    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        t = t or ""
+        ids.append(i)
         texts.append(t)
         size += len(t)
         if size >= max_bytes:
