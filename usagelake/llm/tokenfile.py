@@ -39,6 +39,10 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _parts(which: np.ndarray) -> list[np.ndarray]:
+    return [which[i : i + _AT_ONCE] for i in range(0, len(which), _AT_ONCE)]
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(minimum, width, number of exceptions, start of bits) of each block, exceptions' places and values, and the body."""
     blocks = -(-len(ids) // BLOCK)
@@ -52,24 +56,28 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     patched = (above.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
     _, place = np.nonzero(patched)
     starts = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 8))])
-    body = np.empty(int(starts[-1]), np.uint8)
-    for w in np.unique(width):
-        which = np.flatnonzero(width == w)
-        for part in (which[i : i + _AT_ONCE] for i in range(0, len(which) if w else 0, _AT_ONCE)):
-            bits = (above[part][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-            packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
-            body[(starts[part][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
+    body = np.zeros(int(starts[-1]) // 8, "<u8")
+    for w in (np.unique(width[width > 0])).tolist():
+        # Of each block, the words that its bits fill: sums of shifted numbers, and what a number has beyond its word's end.
+        bit = np.arange(BLOCK) * w
+        shift, word = (bit & 63).astype(np.uint64), bit >> 6
+        firsts, over = np.searchsorted(word, np.arange(2 * w)), np.flatnonzero((bit & 63) + w > 64)
+        for part in _parts(np.flatnonzero(width == w)):
+            kept = above[part].astype(np.uint64) & np.uint64((1 << w) - 1)
+            words = np.add.reduceat(kept << shift, firsts, axis=1)
+            words[:, word[over] + 1] += kept[:, over] >> (np.uint64(64) - shift[over])
+            body[(starts[part][:, None] // 8 + np.arange(2 * w)).ravel()] = words.ravel()
     return low, width, patched.sum(axis=1).astype("<u2"), starts[:-1], place.astype("<u2"), above[patched], body.tobytes()
 
 
 def unpack_blocks(low: np.ndarray, width: np.ndarray, n_patched: np.ndarray, starts: np.ndarray, place: np.ndarray, value: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
     rows = np.zeros((len(low), BLOCK), np.uint32)
-    for w in np.unique(width):
-        which = np.flatnonzero(width == w)
-        for part in (which[i : i + _AT_ONCE] for i in range(0, len(which) if w else 0, _AT_ONCE)):
-            packed = body[starts[part][:, None] + np.arange(int(w) * BLOCK // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, int(w))
-            rows[part] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # eight bytes from any byte on
+    for w in (np.unique(width[width > 0])).tolist():
+        bit = np.arange(BLOCK) * w
+        for part in _parts(np.flatnonzero(width == w)):
+            rows[part] = at[starts[part][:, None] + (bit >> 3)] >> (bit & 7).astype(np.uint64) & np.uint64((1 << w) - 1)
     rows[np.repeat(np.arange(len(low)), n_patched), place] = value
     return (rows + low[:, None]).ravel()[:n]
 
