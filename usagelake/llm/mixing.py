@@ -157,8 +157,8 @@ def _fill(gap: int, sizes: list[tuple[int, int]]) -> list[int]:
             chosen.append(h)
             gap -= size
         else:
-            left.append((size - gap, h))
-    return chosen + [h for over, h in sorted(left)[:1] if over < gap]
+            left.append((size, h))
+    return chosen + [h for size, h in sorted(left)[:1] if size - gap < gap]
 
 
 def _thresholds(rows: DataFrame, want: dict[str, tuple[int, int]], closing: int = 64) -> list[tuple[str, int, int | None, list[int]]]:
