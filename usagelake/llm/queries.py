@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, pii, quality, substrings, tokenfile, urls, vectors
+from . import jaccard, licenses, mixing, packing, pii, quality, sql, substrings, tokenfile, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing, op10_substrings)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = sql.ORACLE_SQL
