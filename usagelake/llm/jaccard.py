@@ -5,10 +5,9 @@ few elements: at most k, which follows from their sizes. Sizes are put into band
 those above that hold sizes it can still match. For a band, the domain is cut by hash into first-level parts, and each
 part into three; with n1 = floor(k / 2) + 1 + spare parts, spare + 1 of them differ in one element at most, so leaving
 out one third at a time gives a signature that both sets share. `spare` lets a set leave out empty signatures, which
-would be shared by all: if no more than spare of its parts have one, another part's signature is shared as well.
+would be shared by all, and its most frequent ones: two sets share more signatures than either leaves out.
 
-Nodes with a common signature are linked by a chain in the shuffle (a task sends each signature once, so a hot one costs
-one row for each task). The chains' connected groups are only candidates. Their sets are compared in chunks: within
+Nodes with a common signature are linked by a chain (where very many of a task's sets share one, it sends it once). The chains' connected groups are only candidates. Their sets are compared in chunks: within
 chunks, then between representatives of what has been found, and last between chunks of different components, so that a
 large group of near copies costs in proportion to its size, and no pair is a row. Every comparison is exact on the sets
 of 64-bit shingle hashes; nodes are 64-bit hashes of sets, checked for collisions against a second hash, with another
@@ -25,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -33,6 +32,8 @@ from .store import cut, size_bytes
 from .wordhash import Words, bounded, mix, windows
 
 CHUNK = 256
+#: Signatures in a hash bucket, and sets of one slice with one signature from which on one stands for all.
+BUCKET, HOT = 1_000_000, 64
 #: A table of hashes up to this size is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -52,7 +53,7 @@ class Bands:
         self.lows = np.array(self.low)
         k = [int(2 * h * (1 - self.t) / (1 + self.t)) for h in self.high]
         self.k = np.array(k)
-        self.spare = np.array([1 + x // 12 if x else 0 for x in k])
+        self.spare = np.array([1 + x // 6 if x else 0 for x in k])
         self.parts = np.array([x // 2 + 1 + s if x else 1 for x, s in zip(k, self.spare, strict=True)])
 
     def of(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -82,10 +83,10 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(x) for x in (mix(np.array([mix(s ^ np.uint64(c)).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0] for c in (0x1234567, 0xABCDEF0123)))  # type: ignore[return-value]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(which set, signature) for all sets of a batch at once."""
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which set, signature, band, how many signatures the set can do without in the band) for all sets of a batch at once."""
     sizes = np.array([len(s) for s in sets])
-    which_out, sig_out = [], []
+    which_out, sig_out, band_out, drop_out = [], [], [], []
     with np.errstate(over="ignore"):
         for which, band in bands.of(sizes):
             elements = np.concatenate([sets[i] for i in which])
@@ -112,10 +113,12 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
             at, omitted = np.nonzero(keep)
             key = band[doc[at]].astype(np.uint64) << np.uint64(40) | place[at].astype(np.uint64) << np.uint64(2) | omitted.astype(np.uint64)
             which_out.append(which[doc[at]])
+            band_out.append(band[doc[at]])
+            drop_out.append(np.maximum(spare - thin, 0).astype(np.int64)[doc[at]])
             sig_out.append(mix(rest[at, omitted] + mix(key)))
     if not which_out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(which_out), np.concatenate(sig_out)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(which_out), np.concatenate(sig_out), np.concatenate(band_out), np.concatenate(drop_out)
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -138,43 +141,86 @@ def _nodes(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return cut(docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"id {kind}, text_hash long, node long, check long, n long"), "jaccard-nodes")
 
 
-def _candidate_edges(docs: DataFrame, n: int, threshold: Fraction, seed: int) -> DataFrame:
+def _candidate_edges(docs: DataFrame, n: int, threshold: Fraction, seed: int, shingles: int) -> DataFrame:
+    """(a, b): edges whose components hold all links. shingles: how many there are, by which the hash buckets are sized.
+
+    Signatures go to hash buckets in blocks, five bytes and a number in the block's list of sets each. Those that no other
+    set has end there. A set that may do without d signatures leaves out its d most frequent ones (two sets share more than
+    either leaves out, and of what they share the rarest stays in both), so passages of many documents link few of them."""
+    per_shingle = 8 * (1 - threshold) / (1 + threshold)
+    buckets = max(1, min(1 << 20, int(shingles * per_shingle / BUCKET)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
         for batch in batches:
             texts = list(set(_texts(batch)))
             for part in bounded(texts):
-                sets = [s for s in shingle_sets(texts[part], n, seed) if len(s)]
-                which, sig = signatures(sets, bands)
-                nodes = np.array([node_of(s)[0] for s in sets], np.int64)[which]
-                order = np.lexsort((nodes, sig))
-                sig, nodes = sig[order], nodes[order]
-                # Of those that share a signature here, only the first is sent on; the others are linked to it in a row of their own.
-                new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
-                head = nodes[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))] if len(sig) else nodes
-                links = np.unique(np.stack([head, nodes])[:, ~new & (head != nodes)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new].view(np.int64), links[0]])), pa.array(np.concatenate([nodes[new], links[1]])), pa.array(np.repeat([False, True], [int(new.sum()), links.shape[1]]))], ["sig", "node", "link"])
-
-    rows = docs.select("text").mapInArrow(run, "sig long, node long, link boolean")
-    # One shuffle for both: a link's first node stands for its signature, and the pair is handed through.
-    by = F.when(F.col("link"), F.hash("node")).otherwise(F.lit(0))
-    dealt = rows.repartition("sig", by).sortWithinPartitions("sig", by, "link", "node")
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, last_node = None, None
+                own = {node_of(s)[0]: s for s in shingle_sets(texts[part], n, seed) if len(s)}
+                names, sets = np.array(list(own), np.int64), list(own.values())
+                which, sig, band, drop = signatures(sets, bands)
+                order = np.argsort(sig, kind="stable")
+                which, sig, band, drop = which[order], sig[order], band[order], drop[order]
+                # Where very many sets share a signature in this slice alone, the first one stands for all.
+                head = np.maximum.accumulate(np.where(np.concatenate([[True], sig[1:] != sig[:-1]]), np.arange(len(sig)), 0)) if len(sig) else which
+                many = np.bincount(head, minlength=len(sig))[head] >= HOT if len(sig) else np.empty(0, bool)
+                spared = many & (head != np.arange(len(sig)))
+                links = np.unique(np.stack([names[which[head[spared]]], names[which[spared]]]), axis=1)
+                rows = [(-1, b"", b"", links[0].tobytes(), links[1].tobytes(), b"")] if links.size else []
+                which, sig, band, drop = which[~spared], sig[~spared], band[~spared], drop[~spared]
+                bucket = ((sig >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for i in range(buckets):
+                    at = order[ends[i] : ends[i + 1]]
+                    if len(at):
+                        pairs, index = np.unique(np.stack([which[at], band[at], drop[at]]), axis=1, return_inverse=True)
+                        low = sig[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                        rows.append((i, low.tobytes(), index.ravel().astype("<u2" if pairs.shape[1] < 1 << 16 else "<u4").tobytes(), names[pairs[0]].tobytes(), pairs[1].astype("<i8").tobytes(), pairs[2].astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], ["bucket", "low", "index", "node", "band", "spare"])
+
+    blocks = docs.select("text").mapInArrow(run, "bucket int, low binary, index binary, node binary, band binary, spare binary")
+    by = F.when(F.col("bucket") < 0, F.hash("node")).otherwise(0)
+    dealt = blocks.repartition("bucket", by).sortWithinPartitions("bucket")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(sig, node, band, spare, size) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in ((sig, np.int64), (node, np.int64), (band, np.int32), (spare, np.int32), (size, np.int32))], ["sig", "node", "band", "spare", "size"])
+
+        def close(bucket: int, held: list[tuple]) -> pa.RecordBatch:
+            sig, node, band, spare = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((node, sig))
+            sig, node, band, spare = sig[order], node[order], band[order], spare[order]
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            sig, node, band, spare = sig[fresh], node[fresh], band[fresh], spare[fresh]
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.repeat(np.diff(np.concatenate([first, [len(sig)]])), np.diff(np.concatenate([first, [len(sig)]])))
+            some = size > 1
+            return out(sig[some] | np.int64(bucket) << np.int64(40), node[some], band[some], spare[some], size[some])
+
+        key, held = None, []
         for batch in batches:
-            sig, node, link = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            pairs = [np.stack([sig[link], node[link]])]
-            sig, node = sig[~link], node[~link]
-            if len(sig):
-                before = np.concatenate([[node[0] if last_sig is None or last_sig != sig[0] else last_node], node[:-1]])
-                same = np.concatenate([[last_sig == sig[0]], sig[1:] == sig[:-1]]) & (before != node)
-                pairs.append(np.stack([before[same], node[same]]))
-                last_sig, last_node = sig[-1], node[-1]
-            out = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
-
-    return dealt.mapInArrow(chain, "a long, b long").distinct()
+            for bucket, low, index, node, band, spare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:  # links: node to band
+                    a, b = np.frombuffer(node, np.int64), np.frombuffer(band, np.int64)
+                    yield out(a, b, np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a)))
+                    continue
+                if bucket != key and held:
+                    yield close(key, held)
+                    held = []
+                key = bucket
+                wide = np.zeros((len(low) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+                at = np.frombuffer(index, "<u2" if len(index) * 5 == len(low) * 2 else "<u4")
+                held.append((wide.view("<i8").ravel(), *(np.frombuffer(c, np.int64)[at] for c in (node, band, spare))))
+        if held:
+            yield close(key, held)
+
+    met = cut(dealt.mapInArrow(shared, "sig long, node long, band int, spare int, size int"), "jaccard-shared")
+    rank = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.col("size").desc(), "sig"))
+    kept = met.where("band >= 0").withColumn("rank", rank).where("rank > spare")
+    chain = kept.withColumn("before", F.lag("node").over(Window.partitionBy("sig").orderBy("node")))
+    edges = chain.where(F.col("before").isNotNull()).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    return edges.unionAll(met.where("band < 0").select(F.col("sig").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
@@ -326,7 +372,7 @@ def _rooted(rows: DataFrame, n: int, threshold: Fraction | float, seeds: int) ->
             break
     else:
         raise ValueError("sets collide in their 64-bit hashes with every seed")
-    candidates = components(_candidate_edges(rows, n, threshold, seed))
+    candidates = components(_candidate_edges(rows, n, threshold, seed, nodes.agg(F.sum("n").alias("n")).first()["n"] or 0))
     wanted = cut(nodes.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(candidates.select("node"), "node", "left_semi").select("text_hash"), "jaccard-wanted")
     sets = cut(_sets(rows, wanted, n, seed), "jaccard-sets")
     roots = components(_verified(candidates, sets, threshold))
