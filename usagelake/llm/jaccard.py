@@ -19,6 +19,7 @@ and is its own component; repeated rows share a component; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -224,7 +225,7 @@ def _candidate_edges(docs: DataFrame, n: int, threshold: Fraction, seed: int, sh
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, elements) of the wanted (text_hash) documents; rows of one node may repeat across tasks."""
+    """(node, n, elements) of the wanted (text_hash) documents; rows of one node may repeat across tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -234,11 +235,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
                 found = {node_of(s)[0]: s for s in shingle_sets(texts[part], n, seed)}
                 fresh = [k for k in found if k not in seen]
                 seen.update(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([found[k].tobytes() for k in fresh], pa.binary())], ["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([len(found[k]) for k in fresh], pa.int64()), pa.array([found[k].tobytes() for k in fresh], pa.binary())], ["node", "n", "elements"])
 
     keyed = docs.select("text", F.xxhash64("text").alias("text_hash"))
     small = size_bytes(wanted) <= BROADCAST_BYTES
-    return keyed.join(F.broadcast(wanted) if small else wanted, "text_hash", "left_semi").select("text").mapInArrow(run, "node long, elements binary")
+    return keyed.join(F.broadcast(wanted) if small else wanted, "text_hash", "left_semi").select("text").mapInArrow(run, "node long, n long, elements binary")
 
 
 def linked(sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
@@ -312,55 +313,60 @@ def _compare(groups: DataFrame, threshold: Fraction) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group").select("group", "node", "elements").mapInArrow(run, "a long, b long")
 
 
-def _chunk(size: str) -> Column:
-    """A hash chunk of about CHUNK nodes for a node of a group of the given size."""
-    return F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col(size) / CHUNK))
+def _chunk(count: str, salt: int) -> Column:
+    """A hash chunk of about CHUNK nodes for a node of a group of so many."""
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(count) / CHUNK))
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """All links, as edges whose components are those of the exact links. candidates: (node, root)."""
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    members = cut(candidates.join(sizes, "root"), "jaccard-groups")
-    edges = cut(_compare(members.join(sets, "node").select(F.xxhash64("root", _chunk("size")).alias("group"), "node", "elements"), threshold), "jaccard-edges")
-    large = members.where(F.col("size") > CHUNK).select("node", F.col("root").alias("top"), "size")
+    """All links, as edges whose components are those of the exact links. candidates: (node, root).
+
+    A candidate group beyond a chunk is cut by classes of set size, one threshold wide: what links is in the same class or in
+    neighbouring ones."""
+    sizes = sets.select("node", "n").distinct().withColumn("class", F.floor(F.log("n") / (-1.000001 * math.log(threshold))))
+    counts = candidates.groupBy("root").agg(F.count("*").alias("size"))
+    members = candidates.join(counts, "root").join(sizes, "node")
+    members = cut(members.withColumn("class", F.when(F.col("size") > CHUNK, F.col("class")).otherwise(0)), "jaccard-groups")
+    classes_ = members.groupBy("root", "class").agg(F.count("*").alias("of_class"))
+    placed = members.join(classes_, ["root", "class"])
+    edges = cut(_compare(placed.join(sets, "node").select(F.xxhash64("root", "class", _chunk("of_class", 7)).alias("group"), "node", "elements"), threshold), "jaccard-edges")
+    large = cut(members.where(F.col("size") > CHUNK).select("node", F.col("root").alias("top"), "class"), "jaccard-large")
     if large.isEmpty():
         return edges
-    while True:  # representatives of the components so far, group by group, until those of a group fit in a chunk or link no more
+    while True:  # representatives of the components so far, class by class, until those of a class fit in a chunk or link no more
         found = components(edges)
-        labels = cut(large.join(found, "node", "left").select("node", "top", F.coalesce("root", "node").alias("label")), "jaccard-labels")
-        reps = labels.where(F.col("node") == F.col("label")).select("node", "top")
-        counts = reps.groupBy("top").agg(F.count("*").alias("reps"))
-        open_ = cut(reps.join(counts.where(F.col("reps") > 1), "top"), "jaccard-reps")
-        if open_.isEmpty():
-            return edges
-        more = cut(_compare(open_.join(sets, "node").select(F.xxhash64("top", _chunk("reps"), F.lit("reps")).alias("group"), "node", "elements"), threshold), "jaccard-edges")
-        if more.isEmpty():
-            break
+        labels = cut(large.join(found, "node", "left").select("node", "top", "class", F.coalesce("root", "node").alias("label")), "jaccard-labels")
+        reps = labels.groupBy("top", "label", "class").agg(F.min("node").alias("node"))
+        per_class = reps.groupBy("top", "class").agg(F.count("*").alias("reps"))
+        open_ = cut(reps.join(per_class.where((F.col("reps") > 1) & (F.col("reps") <= F.lit(CHUNK) * CHUNK)), ["top", "class"]), "jaccard-reps")
+        more = cut(_compare(open_.join(sets, "node").select(F.xxhash64("top", "class", _chunk("reps", 11), F.lit("reps")).alias("group"), "node", "elements"), threshold), "jaccard-edges")
+        joined = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        if joined.isEmpty():
+            return edges.unionAll(_across(labels, sets, threshold))
         edges = cut(edges.unionAll(more), "jaccard-edges")
-        if open_.where(F.col("reps") > CHUNK).isEmpty():
-            found = components(edges)
-            labels = cut(large.join(found, "node", "left").select("node", "top", F.coalesce("root", "node").alias("label")), "jaccard-labels")
-            break
-    return edges.unionAll(_across(labels, sets, threshold))
 
 
 def _across(labels: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """What may still link different components of one candidate group: chunks of one component aren't compared with each other."""
+    """What may still link different components of one candidate group: chunks of one component, or of classes that can't
+    link, aren't compared with each other."""
     sized = labels.groupBy("top", "label").agg(F.count("*").alias("of_label"))
-    rest = sized.groupBy("top").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("of_label") <= CHUNK, F.col("of_label")).otherwise(0)).alias("rest"))
-    placed = cut(sized.join(rest.where(F.col("labels") > 1), "top"), "jaccard-placed")
-    # Small components share chunks (mark -1), a large one has its own (mark: its label).
+    several = sized.groupBy("top").agg(F.count("*").alias("labels")).where("labels > 1")
     small = F.col("of_label") <= CHUNK
-    own = labels.join(placed, ["top", "label"])
-    chunk = F.when(small, F.pmod(F.xxhash64("label", F.lit(3)), F.ceil(F.col("rest") / CHUNK))).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("of_label") / CHUNK)))
-    own = cut(own.select("node", "top", small.alias("mixed"), F.when(small, F.lit(0)).otherwise(F.col("label")).alias("mark"), chunk.alias("chunk")), "jaccard-chunks")
-    chunks = cut(own.select("top", "mixed", "mark", "chunk").distinct(), "jaccard-chunk-list")
-    a, b = (chunks.select("top", *(F.col(c).alias(f"{c}_{x}") for c in ("mixed", "mark", "chunk"))) for x in "ab")
-    key = lambda x: F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("mixed", "mark", "chunk")))
+    # Small components share chunks, a large one has its own (mark: its label).
+    own = labels.join(sized.join(several, "top"), ["top", "label"]).select("node", "top", "class", small.alias("mixed"), F.when(small, F.lit(0)).otherwise(F.col("label")).alias("mark"))
+    own = cut(own, "jaccard-own")
+    counts = own.groupBy("top", "class", "mixed", "mark").agg(F.count("*").alias("count"))
+    own = cut(own.join(counts, ["top", "class", "mixed", "mark"]).withColumn("chunk", _chunk("count", 3)).drop("count"), "jaccard-chunks")
+    chunks = cut(own.select("top", "class", "mixed", "mark", "chunk").distinct(), "jaccard-chunk-list")
+    parts = ("class", "mixed", "mark", "chunk")
+    a, b = (chunks.select("top", *(F.col(c).alias(f"{c}_{x}") for c in parts)) for x in "ab")
+    key = lambda x: F.struct(*(F.col(f"{c}_{x}").alias(c) for c in parts))
     useful = F.col("mixed_a") | F.col("mixed_b") | (F.col("mark_a") != F.col("mark_b"))
-    pairs = a.join(b, "top").where((key("a") <= key("b")) & useful).withColumn("group", F.xxhash64("top", key("a"), key("b")))
+    # Each chunk meets those of its own class and of the next one.
+    near = a.withColumn("class_b", F.explode(F.array("class_a", F.col("class_a") + 1))).join(b, ["top", "class_b"])
+    pairs = near.where(useful & ((F.col("class_a") < F.col("class_b")) | (key("a") <= key("b")))).withColumn("group", F.xxhash64("top", key("a"), key("b")))
     sent = pairs.select("top", "group", F.explode(F.array(key("a"), key("b"))).alias("k")).select("top", "group", "k.*").distinct()
-    return _compare(own.join(sent, ["top", "mixed", "mark", "chunk"]).join(sets, "node").select("group", "node", "elements"), threshold)
+    return _compare(own.join(sent, ["top", *parts]).join(sets, "node").select("group", "node", "elements"), threshold)
 
 
 def _rooted(rows: DataFrame, n: int, threshold: Fraction | float, seeds: int) -> DataFrame:
