@@ -30,3 +30,7 @@ def test_same_rows(spark, oracle, name):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+
+
+def test_receipts_of_all_lines(spark, oracle):
+    assert catalog.QUERIES["receipt_join_all"](spark, DATA).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]

@@ -207,8 +207,7 @@ _add("insert_ignore", lambda s, d: relational.insert_ignore(*_stored(s, d), ["ev
 _add("replace_scopes", lambda s, d: relational.replace_scopes(*(x := _stored(s, d)), x[1].where("scope % 5 = 0")), _STORED_SQL + " SELECT * FROM stored WHERE scope NOT IN (SELECT scope FROM later WHERE scope % 5 = 0) UNION ALL SELECT * FROM later")
 
 
-def _receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ledger.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+def _receipt(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     items = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.col("l_orderkey").alias("evidence_id"))
     orders = ledger.table(spark, sf_dir, "orders")
     evidence = orders.select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("scope"))
@@ -217,9 +216,12 @@ def _receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.receipt(items, evidence, scopes, outcomes)
 
 
-_add("receipt_join", _receipt, """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
+_add("receipt_join", lambda s, d: _receipt(s, d, ledger.table(s, d, "lineitem").where("l_orderkey % 50 = 0")), """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_orderkey % 50 = 0)
 SELECT sequence, evidence_id, scope, CASE current WHEN 1 THEN o_orderstatus ELSE 'pending' END AS disposition, CASE current WHEN 1 THEN o_orderpriority ELSE '' END AS code FROM j""")
+_add("receipt_join_all", lambda s, d: _receipt(s, d, ledger.table(s, d, "lineitem")), """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)
+SELECT sequence, evidence_id, scope, CASE current WHEN 1 THEN o_orderstatus ELSE 'pending' END AS disposition, CASE current WHEN 1 THEN o_orderpriority ELSE '' END AS code FROM j""")
 _add("provenance_set", lambda s, d: relational.provenance(ledger.table(s, d, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_suppkey").alias("evidence_id"))), "SELECT DISTINCT l_orderkey AS fact_id, l_suppkey AS evidence_id FROM lineitem")
 
 
