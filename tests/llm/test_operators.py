@@ -146,6 +146,23 @@ def test_mixing(docs, empty):
     assert mixing.measure(empty).count() == 0
 
 
+def test_mixing_goes_on_past_a_giant_document(spark):
+    # A document of 200,000 words lies where the threshold of source a falls: those before it come to about 1.2 million words, the target is 1.3.
+    # Beyond it an id has two rows, of which only one would fit; they are taken alike.
+    hashed = spark.range(10_000, 12_000).select("id", mixing.order_hash(F.col("id"), 17).alias("h")).collect()
+    giant, twice = (min(hashed, key=lambda r: abs((r["h"] + 2**63) / 2**64 - at))["id"] for at in (0.7, 0.705))
+    rng = random.Random(5)
+    sizes = {i: max(1, int(rng.lognormvariate(5.6, 0.7))) for i in range(5000)} | {giant: 200_000} | {i: 1000 for i in range(20_000, 21_850)}
+    rows = [(i, i if i < 20_000 else None, n) for i, n in sizes.items()] + [(twice, twice, 7), (twice, twice, 150_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, a long, n int").select("doc_id", F.repeat(F.lit("w "), F.col("n")).alias("text"), F.when(F.col("a").isNotNull(), "a").otherwise("b").alias("source"))
+    found = [r for r in mixing.measure(docs.repartition(4)).collect() if r["doc_id"] < 20_000]
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 100
+    copies = {}
+    for r in found:
+        assert copies.setdefault(r["doc_id"], r["taken"] // r["size"]) == r["taken"] // r["size"]
+    assert {r["doc_id"] for r in mixing.mix_documents(docs).where("source = 'a'").select("doc_id").collect()} == {i for i, n in copies.items() if n}
+
+
 def test_targets_stop_at_three_times():
     t = mixing.target_words({"a": 1, "b": 100, None: 99})
     assert t["a"] == 3 and sum(t.values()) == 200 and t[None] / t["b"] == Fraction(3, 2)

@@ -7,7 +7,8 @@ its size, gives whole copies of all its documents and a remainder, which goes to
 
 The driver holds one row for each pattern, which max_patterns bounds. Documents need no shuffle: whether one is taken
 depends on its hash and its pattern's threshold. The threshold is found from sums over 4096 hash ranges of each pattern,
-then exactly inside the one range where it lies; some of the next documents, as their sizes fit, close the gap that remains.
+then exactly inside the one range where it lies. Documents too large for the gap that remains are set aside, and the next ones
+close it as their sizes fit, by the same search as long as they are many, until no document that fits is left.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids are taken
 alike; an empty table gives an empty result; a document without words is taken no times; other columns play no part.
@@ -19,7 +20,7 @@ from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import WORD, whole_text
@@ -107,11 +108,12 @@ def min_cost_flow(patterns: list[tuple[tuple[str | None, ...], int]], quotas: di
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: rows (source, size, target). plan: rows (key, base, above, close): documents of the pattern are taken base
-    times, and once more if their hash is at most `above` or one of `close`."""
+    """sources: rows (source, size, target). plan: rows (key, base, above, close, spans, skip): documents of the pattern are
+    taken base times, and once more if their hash is at most `above` or one of `close`, or lies in one of `spans`, (after,
+    upto, most), with a size of at most `most` and not in `skip`."""
 
     sources: list[tuple[str | None, int, float]]
-    plan: list[tuple[str, int, int | None, list[int]]]
+    plan: list[tuple[str, int, int | None, list[int], list[tuple[int | None, int, int]], list[int]]]
 
 
 def order_hash(id_col: Column, seed: int) -> Column:
@@ -149,56 +151,104 @@ def plan_mix(rows: DataFrame, copies: int = 3, max_patterns: int = 100_000) -> M
     return Mix([(s, sizes[s], float(t)) for s, t in targets.items()], _thresholds(rows, want))
 
 
-def _fill(gap: int, sizes: list[tuple[int, int]]) -> list[int]:
-    """Of (hash, size), hashes of those whose sizes come near gap: the largest that still fit, then one if it brings the sum nearer."""
-    chosen, left = [], []
+def _fill(gap: int, sizes: list[tuple[int, int]]) -> tuple[list[int], int]:
+    """Of (hash, size), hashes of those whose sizes come near gap, the largest that still fit first; and the gap that is left."""
+    chosen = []
     for h, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
         if size <= gap:
             chosen.append(h)
             gap -= size
-        else:
-            left.append((size, h))
-    return chosen + [h for size, h in sorted(left)[:1] if size - gap < gap]
+    return chosen, gap
 
 
-def _thresholds(rows: DataFrame, want: dict[str, tuple[int, int]], closing: int = 64) -> list[tuple[str, int, int | None, list[int]]]:
-    """closing: how many documents after a pattern's threshold may close its gap; the driver gets so many for each pattern."""
-    spark = rows.sparkSession
-    rest = {k: r for k, (_, r) in want.items() if r}
-    if not rest:
-        return [(k, base, None, []) for k, (base, _) in want.items()]
-    need = F.broadcast(spark.createDataFrame(list(rest.items()), "__key string, rest long"))
-    ranged = rows.where(F.col("__size") > 0).withColumn("__range", F.shiftright("__hash", RANGE_SHIFT))
+def _open(rows: DataFrame, state: dict[str, tuple[int | None, int]], fitting: bool) -> DataFrame:
+    """rows of the patterns in state, (hash reached, room), beyond that hash; with fitting only those not larger than the room."""
+    at = F.broadcast(rows.sparkSession.createDataFrame([(k, *x) for k, x in state.items()], "__key string, __at long, room long"))
+    out = rows.join(at, "__key").where((F.col("__size") > 0) & F.coalesce(F.col("__hash") > F.col("__at"), F.lit(True)))
+    return out.where(F.col("__size") <= F.col("room")) if fitting else out
+
+
+def _prefix(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    """rows: from _open(). For each pattern the last hash up to which all sizes together fit in the room, and their sum; none
+    where the first doesn't fit."""
+    ranged = rows.withColumn("__range", F.shiftright("__hash", RANGE_SHIFT))
     upto = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)  # 4096 rows a pattern at most
-    sums = ranged.groupBy("__key", "__range").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).withColumn("upto", F.sum("size").over(upto)).withColumn("n_upto", F.sum("n").over(upto))
-    sums = cut(sums.join(need, "__key"), "mix-ranges")
-    edges = sums.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("size") <= F.col("rest")))
-    edges = edges.select("__key", F.col("__range").alias("edge"), (F.col("upto") - F.col("size")).alias("before"), F.col("n_upto").alias("n_edge"))
-    ends = sums.join(F.broadcast(edges), "__key").where((F.col("__range") >= F.col("edge")) & (F.col("n_upto") - F.col("n") < F.col("n_edge") + closing))
-    ends = ends.groupBy("__key").agg(F.max("__range").alias("end"), F.first("edge").alias("edge"), F.first(F.col("rest") - F.col("before")).alias("room"))
-    edge = {r["__key"]: (r["edge"], r["room"]) for r in ends.collect()}
-    at = F.broadcast(spark.createDataFrame([(r[0], *r[1]) for r in edge.items()], "__key string, edge long, room long"))
-    last = F.broadcast(ends.select("__key", "end"))
-    near = ranged.join(at, "__key").join(last, "__key").where(F.col("__range").between(F.col("edge"), F.col("end")))
-    inside = Window.partitionBy("__key").orderBy("__hash").rangeBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("run", F.sum("__size").over(inside)).withColumn("fits", F.col("run") <= F.col("room"))
-    near = cut(near.select("__key", "__hash", "__size", "run", "fits"), "mix-edges")
-    got = {r["__key"]: (r["hash"], r["run"]) for r in near.where("fits").groupBy("__key").agg(F.max("__hash").alias("hash"), F.max("run").alias("run")).collect()}
-    number = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
-    after: dict[str, list[tuple[int, int]]] = {}
-    for r in near.where(~F.col("fits")).groupBy("__key", "__hash").agg(F.sum("__size").alias("size")).withColumn("number", number).where(F.col("number") <= closing).collect():
-        after.setdefault(r["__key"], []).append((r["__hash"], r["size"]))
-    lowest = -(1 << 63 - RANGE_SHIFT)
-    above = {k: got[k][0] if k in got else (e << RANGE_SHIFT) - 1 if e > lowest else None for k, (e, _) in edge.items()}
-    close = {k: _fill(room - got.get(k, (0, 0))[1], after.get(k, [])) for k, (_, room) in edge.items()}
-    return [(k, base, above.get(k), close.get(k, [])) for k, (base, _) in want.items()]
+    sums = ranged.groupBy("__key", "__range").agg(F.sum("__size").alias("size"), F.max("__hash").alias("last"), F.first("room").alias("room")).withColumn("upto", F.sum("size").over(upto))
+    fits = F.col("upto") <= F.col("room")
+    found = sums.groupBy("__key").agg(F.max(F.when(fits, F.col("last"))).alias("last"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("before"), F.min(F.when(~fits, F.col("__range"))).alias("edge")).collect()
+    out = {r["__key"]: (r["last"], r["before"]) for r in found if r["last"] is not None}
+    if edges := [(r["__key"], r["edge"], r["before"]) for r in found if r["edge"] is not None]:
+        at = F.broadcast(rows.sparkSession.createDataFrame(edges, "__key string, __range long, before long"))
+        inside = Window.partitionBy("__key").orderBy("__hash").rangeBetween(Window.unboundedPreceding, 0)
+        near = ranged.join(at, ["__key", "__range"]).withColumn("run", F.col("before") + F.sum("__size").over(inside)).where(F.col("run") <= F.col("room"))
+        out |= {r["__key"]: (r["hash"], r["run"]) for r in near.groupBy("__key").agg(F.max("__hash").alias("hash"), F.max("run").alias("run")).collect()}
+    return out
 
 
-def with_copies(df: DataFrame, mix: Mix, key: Column, hash_: Column) -> DataFrame:
+def _picked(hash_: Column, size: Column) -> Column:
+    """Whether __close, __pick_spans or __pick_skip of the pattern's plan take a document beyond the threshold."""
+    within = F.exists("__pick_spans", lambda s: F.coalesce(hash_ > s["after"], F.lit(True)) & (hash_ <= s["upto"]) & (size <= s["most"])) & ~F.array_contains("__pick_skip", hash_)
+    return F.coalesce(F.array_contains("__close", hash_), F.lit(False)) | F.coalesce((F.size("__pick_spans") > 0) & within, F.lit(False))
+
+
+def _thresholds(rows: DataFrame, want: dict[str, tuple[int, int]], closing: int = 64) -> list[tuple[str, int, int | None, list[int], list[tuple[int | None, int, int]], list[int]]]:
+    """closing: how many documents of a pattern the driver gets at once to close its gap. Where so many that fit can't fill it,
+    the threshold search goes on beyond the last hash, over documents that fit; all this until none that fits is left."""
+    rest = {k: (None, r) for k, (_, r) in want.items() if r}
+    if not rest:
+        return [(k, base, None, [], [], []) for k, (base, _) in want.items()]
+    first = _prefix(_open(rows, rest, False))
+    above = {k: h for k, (h, _) in first.items()}
+    gaps = {k: r - first.get(k, (None, 0))[1] for k, (_, r) in rest.items()}
+    close, spans, skip = ({k: [] for k in rest} for _ in range(3))
+    state = {k: (above.get(k), gap) for k, gap in gaps.items() if gap}
+    # Rows with equal hashes are one document here; `least` is the smallest of them.
+    beyond = cut(_open(rows, state, False).groupBy("__key", "__hash").agg(F.sum("__size").alias("__size"), F.min("__size").alias("least")), "mix-rest") if state else None
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
+    while state:
+        following: dict[str, list[tuple[int, int]]] = {k: [] for k in state}
+        for r in _open(beyond, state, True).withColumn("number", number).where(F.col("number") <= closing).collect():
+            following[r["__key"]].append((r["__hash"], r["__size"]))
+        short = {}
+        for k, found in following.items():
+            at, gap = state.pop(k)
+            if len(found) == closing and sum(size for _, size in found) < gap:
+                short[k] = (at, gap)
+                continue
+            chosen, gaps[k] = _fill(gap, found)
+            close[k] += chosen
+            if len(found) == closing and gaps[k]:
+                state[k] = (max(h for h, _ in found), gaps[k])
+        if short:
+            reached = _prefix(_open(beyond, short, True))
+            for k, (upto, run) in reached.items():
+                at, gap = short[k]
+                spans[k].append((at, upto, gap))
+                gaps[k] = gap - run
+                if gaps[k]:
+                    state[k] = (upto, gaps[k])
+            mixed = beyond.where(F.col("least") < F.col("__size"))
+            for r in _open(mixed, short, False).where((F.col("least") <= F.col("room")) & (F.col("__size") > F.col("room"))).select("__key", "__hash").collect():
+                if r["__hash"] <= reached[r["__key"]][0]:
+                    skip[r["__key"]].append(r["__hash"])
+    # What isn't taken is larger than the gap that is left; the smallest may still bring the sum nearer.
+    if left := {k: (above.get(k), gap) for k, gap in gaps.items() if gap}:
+        plan = F.broadcast(_plan_table(rows.sparkSession, [(k, 0, above.get(k), close[k], spans[k], skip[k]) for k in left]))
+        over = _open(beyond, left, False).where(F.col("__size") - F.col("room") < F.col("room")).join(plan, F.col("__key") == F.col("__plan")).where(~_picked(F.col("__hash"), F.col("__size")))
+        for r in over.groupBy("__key").agg(F.min(F.struct("__size", "__hash")).alias("best")).collect():
+            close[r["__key"]].append(r["best"]["__hash"])
+    return [(k, base, above.get(k), close.get(k, []), spans.get(k, []), skip.get(k, [])) for k, (base, _) in want.items()]
+
+
+def _plan_table(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(plan, "__plan string, __base int, __above long, __close array<long>, __pick_spans array<struct<after: long, upto: long, most: long>>, __pick_skip array<long>")
+
+
+def with_copies(df: DataFrame, mix: Mix, key: Column, hash_: Column, size: Column) -> DataFrame:
     """df with __copies: how many times each row is taken."""
-    plan = F.broadcast(df.sparkSession.createDataFrame(mix.plan, "__plan string, __base int, __above long, __close array<long>"))
-    more = F.coalesce(hash_ <= F.col("__above"), F.lit(False)) | F.coalesce(F.array_contains("__close", hash_), F.lit(False))
-    return df.join(plan, key == F.col("__plan"), "left").withColumn("__copies", F.coalesce(F.col("__base"), F.lit(0)) + more.cast("int")).drop("__plan", "__base", "__above", "__close")
+    plan = F.broadcast(_plan_table(df.sparkSession, mix.plan))
+    more = F.coalesce(hash_ <= F.col("__above"), F.lit(False)) | _picked(hash_, size)
+    return df.join(plan, key == F.col("__plan"), "left").withColumn("__copies", F.coalesce(F.col("__base"), F.lit(0)) + more.cast("int")).drop("__plan", "__base", "__above", "__close", "__pick_spans", "__pick_skip")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, copies: int = 3) -> DataFrame:
@@ -206,7 +256,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     rows = sized(docs, F.array(source_col), id_col, text_col, seed)
     mix = plan_mix(rows, copies)
     sources = F.broadcast(docs.sparkSession.createDataFrame(mix.sources, "__source string, source_size long, target double"))
-    taken = with_copies(rows, mix, F.col("__key"), F.col("__hash")).withColumn("__own", F.col("__members")[0])
+    taken = with_copies(rows, mix, F.col("__key"), F.col("__hash"), F.col("__size")).withColumn("__own", F.col("__members")[0])
     out = taken.join(sources, F.col("__own").eqNullSafe(F.col("__source")), "left")
     return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", (F.col("__copies") * F.col("__size")).alias("taken"))
 
@@ -216,5 +266,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     belongs to (unset: the one in source_col)."""
     members = F.array(source_col) if members is None else members
     mix = plan_mix(sized(docs, members, id_col, text_col, seed), copies)
-    taken = with_copies(docs, mix, _key(members), order_hash(F.col(id_col), seed)).where((F.col("__copies") > 0) & (sizes_of(F.col(text_col)) > 0))
+    size = sizes_of(F.col(text_col))
+    taken = with_copies(docs, mix, _key(members), order_hash(F.col(id_col), seed), size).where((F.col("__copies") > 0) & (size > 0))
     return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__n")).drop("__n")
