@@ -125,6 +125,13 @@ def test_pii(docs, empty):
     assert pii.find(empty.drop("__spans")).count() == 0
 
 
+def test_long_secret_is_one_span(spark):
+    rows = [(n, "key: token=" + "aB3_" * n + " end") for n in (2, 50, 51, 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: r[1] for r in pii.find(docs).select("doc_id", pii.joined(F.col("__spans"))).collect()} == {n: f"secret:5:{11 + 4 * n}" for n, _ in rows}
+    assert {r["text"] for r in pii.redact(docs).collect()} == {"key: <SECRET> end"}
+
+
 def test_mixing(docs, empty):
     found = mixing.measure(docs).collect()
     again = mixing.measure(docs.repartition(5)).collect()

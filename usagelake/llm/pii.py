@@ -74,7 +74,7 @@ KINDS = [
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", r"[A-Z]{2}[0-9]{2}", _iban, False, 0.8, "iban|account|bank|konto"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), False, 0.3, "ssn|social|security"),
     Kind("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "AKIA|ASIA", base=False, score=0.9, context="aws|key|secret"),
-    Kind("secret", r"""\b(?:password|passwd|api_key|apikey|secret|token)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_+/=-]{8,200}""", r"[=:]", base=False, score=0.6, context="password|key|secret|token"),
+    Kind("secret", r"""\b(?:password|passwd|api_key|apikey|secret|token)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_+/=-]{8,}+""", r"[=:]", base=False, score=0.6, context="password|key|secret|token"),
 ]
 SCORE, WINDOW = 0.5, 40
 
