@@ -195,6 +195,12 @@ def test_pieces_give_the_same_ids(cut, name):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(queries._tokenizer(name), cut, 300).encode(texts)] == _ids(name, texts)
 
 
+@pytest.mark.parametrize(("cut", "name"), [("gaps", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")])
+def test_special_tokens_in_capitals_are_words(cut, name):
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "X<|ENDOFTEXT|>,", "<|endoftext|>", "A<|endoftext|>B<|ENDOFTEXT|>", "<|ENDOFTEXT|>A<|startoftext|>", "<|STARTOFTEXT|>."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(queries._tokenizer(name), cut, 300).encode(texts)] == _ids(name, texts)
+
+
 def test_token_files(docs, empty):
     rows = sorted(ROWS, key=lambda r: r[0])
     start, wanted = 0, []

@@ -38,6 +38,8 @@ class Encoder:
         self._tokenizer, self._max = Tokenizer.from_file(path), max_pieces
         self._pieces = {"words": _words, "gaps": _gaps, "whole": lambda t: [t] if t else []}[cut]
         self._lowers = cut == "words"
+        # The tokenizer looks for these in the text as written, so a word that would hold one when lowered isn't lowered.
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if self._lowers else []
         self._young: dict[str | bytes, bytes] = {}
         self._old: dict[str | bytes, bytes] = {}
 
@@ -53,7 +55,8 @@ class Encoder:
             s = p if isinstance(p, str) else p.decode()
             mark = s[-1] if len(s) > 2 and s[-1] in ",." and s[-2].lower().isalpha() else ""
             s = s[: len(s) - len(mark)]
-            plain[p] = (s.lower() if self._lowers and s.isascii() else s, mark)
+            low = s.lower() if self._lowers and s.isascii() else s
+            plain[p] = (s if any(t in low for t in self._added) else low, mark)
         ask = list({s for s, _ in plain.values()} | {m for _, m in plain.values() if m})
         ids: dict[str, bytes] = {}
         for i in range(0, len(ask), 10_000):
