@@ -332,6 +332,7 @@ _add(
     r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^https?://([^/:]+)', 1)) || '/' || regexp_extract(u, '^https?://[^/]+/+(.+)$', 1), '/+$', ''), '\.git$', '') AS identity FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)""",
 )
 _add("location_label", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.split("text", "\n")[0]).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(split_part(text, chr(10), 1), '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
+_add("location_label_text", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.col("text")).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
 _add("fact_identity", lambda s, d: ledger.facts(s, d).select("event_id", text.tuple_hash("fact-v1", "default", F.col("harness"), F.col("session_native_id"), F.col("message_native_id"), "", "message").alias("fact_id")), ledger.FACTS_SQL + """ SELECT event_id, sha256('["fact-v1","default","' || harness || '","' || session_native_id || '","' || message_native_id || '","","message"]') AS fact_id FROM facts""")
 _add("token_sums", lambda s, d: ledger.facts(s, d).groupBy("harness").agg(F.sum(text.token_sum(F.col("input_tokens"), F.col("output_tokens"), F.when(F.col("reasoning_tokens") > 0, F.col("reasoning_tokens")))).alias("n")), ledger.FACTS_SQL + " SELECT harness, CAST(sum(input_tokens + output_tokens + reasoning_tokens) AS BIGINT) AS n FROM facts GROUP BY harness")
 _add("compact_counts", lambda s, d: ledger.table(s, d, "orders").select("o_orderkey", text.compact_count(F.floor("o_totalprice")).alias("shown")), """SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) ELSE CAST(t // 10 AS VARCHAR) || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || CAST(t % 10 AS VARCHAR) END || CASE WHEN n < 1000000 THEN 'K' ELSE 'M' END END AS shown
