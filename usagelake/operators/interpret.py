@@ -6,14 +6,16 @@ in the domain and counters that add up without overflow; everything doubtful abo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import rfc3339_ms
-from ..functions.text import first_nonblank, integer, invalid_integer, nonblank, safe_metadata, token_sum, tuple_hash
-from ..schemas import LAST_MS, SAFE_INTEGER
+from ..functions.text import first_nonblank, integer, invalid_integer, nonblank, token_sum, tuple_hash
+from .context import next_value
+from .facts import LOCATION, SCOPE, valid
 from .resolve import ambiguity
 
 #: Other names of providers.
@@ -58,8 +60,15 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests))
 
 
-def _candidate(rows: DataFrame, raw: dict[str, Column], alias_groups: list[list[Column]], quality: str, exclusive: bool = False, legacy_total: bool = False, strict_reasoning: bool = False, inclusive_input: bool = False) -> DataFrame:
-    """raw: session, message, request, ms, provider, model and the counters input, output, reasoning, read, write, total as text."""
+@dataclass(frozen=True)
+class Also:
+    unusable: Column
+    doubtful: Column
+
+
+def _candidate(rows: DataFrame, raw: dict[str, Column], alias_groups: list[list[Column]], quality: str, exclusive: bool = False, legacy_total: bool = False, strict_reasoning: bool = False, inclusive_input: bool = False, also: Also | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """raw: session, message, request, ms, provider, model and the counters input, output, reasoning, read, write, total as text.
+    also: what else in the row says so. keep: further columns of the result."""
     counters = {c: raw[c] for c in ("input", "output", "reasoning", "read", "write", "total")}
     rows = rows.withColumns({f"__{c}": _clamped(v) for c, v in counters.items()} | {"__bad": _any([invalid_integer(v) for v in counters.values()]), "__none": ~_any([v.isNotNull() for v in counters.values()]), "__negative": _any([integer(v) < 0 for v in counters.values()])})
     i, o, r, read, write, total = (F.col(f"__{c}") for c in counters)
@@ -70,16 +79,16 @@ def _candidate(rows: DataFrame, raw: dict[str, Column], alias_groups: list[list[
         rows = rows.withColumn("__input", F.when(F.coalesce(inclusive, F.lit(False)), i - cache).otherwise(i))
     if inclusive_input:
         rows = rows.withColumn("__negative", F.col("__negative") | F.coalesce(i < zero(read), F.lit(False))).withColumn("__input", F.greatest(i - zero(read), F.lit(0)))
-    over = F.coalesce(r > 0, F.lit(False)) & F.coalesce(r > zero(o), F.lit(True)) if not exclusive else F.lit(False)
+    over = r.isNotNull() & F.coalesce(r > o, F.lit(True)) if not exclusive else F.lit(False)
     rows = rows.withColumn("__over", over)
     if not exclusive:
         rows = rows.withColumns({"__output": F.when(F.col("__over"), o).otherwise(o - zero(r)), "__reasoning": F.when(F.col("__over"), 0).otherwise(r)})
     summed = token_sum(i, o, r, read, write)
     provider, source = canonical_provider(raw["provider"], F.col("harness"))
-    unusable = F.col("__bad") | F.col("__none") | (F.col("__over") if strict_reasoning else F.lit(False))
+    unusable = F.col("__bad") | F.col("__none") | (F.col("__over") if strict_reasoning else F.lit(False)) | (also.unusable if also else F.lit(False))
     conflict = _any([F.size(F.array_distinct(F.array_compact(F.array(*group)))) > 1 for group in alias_groups]) if alias_groups else F.lit(False)
     doubtful = F.exists("diagnostics", lambda d: d != "native_subagent_present")
-    counters_bad = F.col("__negative") | F.col("__over") | F.coalesce(total != summed, F.lit(False))
+    counters_bad = F.col("__negative") | F.col("__over") | F.coalesce(total != summed, F.lit(False)) | (also.doubtful if also else F.lit(False))
     code = ambiguity(raw["message"].isNull(), counters_bad, doubtful, conflict)
     out = rows.select(
         "harness", "format", "source_id", "lineage", "ordinal", "context", "diagnostics", raw["session"].alias("session_native_id"),
@@ -87,9 +96,9 @@ def _candidate(rows: DataFrame, raw: dict[str, Column], alias_groups: list[list[
         raw["ms"].alias("occurred_at_ms"), provider.alias("provider"), source.alias("provider_source"), canonical_model(raw["model"], provider).alias("model"), F.lit(quality).alias("quality"),
         *(zero(c).alias(f"{n}_tokens") for n, c in (("input", i), ("output", o), ("reasoning", r), ("cache_read", read), ("cache_write", write))), summed.alias("total_tokens"), code.alias("code"), (~unusable).alias("__ok"),
         tuple_hash(F.col("harness"), F.col("format"), F.col("source_id"), F.col("lineage"), F.col("ordinal").cast("string"), F.col("data")).alias("evidence_id"), "data",
+        *(F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in LOCATION), F.lit(SCOPE).alias("usage_scope"), *(c.alias(n) for n, c in (keep or {}).items()),
     )
-    inside = F.col("occurred_at_ms").between(0, LAST_MS) & F.col("session_native_id").isNotNull() & safe_metadata(F.col("session_native_id")) & (F.col("total_tokens") <= SAFE_INTEGER)
-    return out.withColumn("usable", F.col("__ok") & F.coalesce(inside, F.lit(False))).drop("__ok")
+    return out.withColumn("usable", F.col("__ok") & valid()).drop("__ok")
 
 
 def pi(evidence: DataFrame) -> DataFrame:
@@ -103,13 +112,14 @@ def pi(evidence: DataFrame) -> DataFrame:
 
 def claude(evidence: DataFrame) -> DataFrame:
     use = lambda c: _at(f"message.usage.{c}")
+    providers, models = ([_at(f"message.{n}{end}") for end in ("", "_id", "ID")] for n in ("provider", "model"))
     thinking = [use("output_tokens_details.thinking_tokens"), use("output_tokens_details.reasoning_tokens")]
     raw = {
         "session": first_nonblank(_at("sessionId"), _at("session_id")), "message": first_nonblank(_at("message.id"), _at("uuid")), "request": first_nonblank(_at("requestId"), _at("request_id")), "ms": rfc3339_ms(_at("timestamp")),
-        "provider": _at("message.provider"), "model": _at("message.model"), "input": use("input_tokens"), "output": use("output_tokens"), "reasoning": F.coalesce(*thinking), "read": use("cache_read_input_tokens"),
+        "provider": first_nonblank(*providers), "model": first_nonblank(*models), "input": use("input_tokens"), "output": use("output_tokens"), "reasoning": F.coalesce(*thinking), "read": use("cache_read_input_tokens"),
         "write": use("cache_creation_input_tokens"), "total": use("total_tokens"),
     }
-    groups = [[nonblank(_at("sessionId")), nonblank(_at("session_id"))], [nonblank(_at("requestId")), nonblank(_at("request_id"))], thinking]
+    groups = [[nonblank(_at("sessionId")), nonblank(_at("session_id"))], [nonblank(_at("requestId")), nonblank(_at("request_id"))], [F.nullif(x, F.lit("")) for x in providers], [F.nullif(x, F.lit("")) for x in models], thinking]
     return _candidate(evidence.where("harness = 'claude-code' and is_usage"), raw, groups, "derived")
 
 
@@ -126,24 +136,48 @@ def opencode(evidence: DataFrame) -> DataFrame:
 CODEX_COUNTERS = ("input_tokens", "cached_input_tokens", "cache_read_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
 
+def _snapshot(s: str) -> dict[str, Column]:
+    """Of a set of counters, in the columns __<s>_<counter> (text) and __n_<s>_<counter>: whether it is wrong in itself, negative or
+    less than its cache, and all that a proof needs."""
+    raw, n = ({c: F.col(f"{x}{s}_{c}") for c in CODEX_COUNTERS} for x in ("__", "__n_"))
+    above = {c: F.greatest(n[c], F.lit(0)) for c in CODEX_COUNTERS}
+    i, o, r = (F.when(n[c].isNotNull(), above[c]) for c in ("input_tokens", "output_tokens", "reasoning_output_tokens"))
+    cache = F.greatest(*(F.when(n[c].isNotNull(), above[c]) for c in ("cached_input_tokens", "cache_read_input_tokens")))
+    parts = F.greatest(i - F.coalesce(cache, F.lit(0)), F.lit(0)), o, cache
+    return {
+        f"__wrong_{s}": _any([raw[c].isNotNull() & n[c].isNull() for c in CODEX_COUNTERS]) | (r.isNotNull() & F.coalesce(r > o, F.lit(True))) | token_sum(*parts).isNull(),
+        f"__doubtful_{s}": _any([*(x < 0 for x in n.values()), i < cache]),
+        f"__complete_{s}": F.coalesce((n["input_tokens"] >= 0) & (n["output_tokens"] >= 0) & (n["total_tokens"] >= 0), F.lit(False)) & ~_any([x < 0 for x in n.values()]),
+        f"__any_{s}": _any([x.isNotNull() for x in raw.values()]),
+    }
+
+
 def codex(evidence: DataFrame) -> DataFrame:
-    """With turn, cumulative (a struct of counters; null: none) and fingerprint (empty: a copy of it can't be recognized)."""
-    last, whole = ({c: _at(f"payload.info.{s}.{c}") for c in CODEX_COUNTERS} for s in ("last_token_usage", "total_token_usage"))
-    turn = first_nonblank(_from_context("turn_context", "payload.turn_id"), _from_context("event_msg", "payload.turn_id"))
-    snapshot = F.to_json(F.struct(*(F.struct(*(v.alias(c) for c, v in s.items())).alias(n) for n, s in (("last", last), ("total", whole)))), {"ignoreNullFields": "false"})
-    has_whole = _any([v.isNotNull() for v in whole.values()])
-    ms = rfc3339_ms(_at("timestamp"))
-    message = F.concat(F.coalesce(turn, F.concat(F.lit("line:"), F.col("ordinal").cast("string"))), F.lit(":"), ms.cast("string"), F.lit(":"), F.sha2(snapshot, 256), F.when(turn.isNotNull() & ~has_whole, F.concat(F.lit(":line:"), F.col("ordinal").cast("string"))).otherwise(""))
-    read = F.greatest(integer(last["cached_input_tokens"]), integer(last["cache_read_input_tokens"])).cast("string")
+    """With turn, cumulative (a struct of counters; null: none) and fingerprint (empty: a copy of it can't be recognized). A row
+    without a model takes that of the nearest later turn context of its source."""
+    rows = evidence.where("harness = 'codex'")
+    rows = next_value(rows, _at("type") == "turn_context", F.coalesce(nonblank(_at("payload.model")), F.lit("")), "__later").where("is_usage")
+    rows = rows.withColumns({f"__{s}_{c}": _at(f"payload.info.{s}_token_usage.{c}") for s in ("last", "total") for c in CODEX_COUNTERS})
+    rows = rows.withColumns({f"__n_{s}_{c}": integer(F.col(f"__{s}_{c}")) for s in ("last", "total") for c in CODEX_COUNTERS})
+    rows = rows.withColumns(_snapshot("last") | _snapshot("total") | {"__turn": first_nonblank(_from_context("turn_context", "payload.turn_id"), _from_context("event_msg", "payload.turn_id"))})
+    last, whole = ({c: F.col(f"__{s}_{c}") for c in CODEX_COUNTERS} for s in ("last", "total"))
+    turn, ms = F.col("__turn"), rfc3339_ms(_at("timestamp"))
+    counters = F.struct(*(F.struct(*(v.alias(c) for c, v in s.items())).alias(n) for n, s in (("last", last), ("total", whole))))
+    rows = rows.withColumn("__snapshot", F.to_json(counters, {"ignoreNullFields": "false"}))
+    alone = turn.isNotNull() & ~F.col("__any_total")
+    message = F.concat(F.coalesce(turn, F.concat(F.lit("line:"), F.col("ordinal").cast("string"))), F.lit(":"), ms.cast("string"), F.lit(":"), F.sha2("__snapshot", 256), F.when(alone, F.concat(F.lit(":line:"), F.col("ordinal").cast("string"))).otherwise(""))
     raw = {
-        "session": nonblank(_from_context("session_meta", "payload.id")), "message": message, "request": F.lit(None).cast("string"), "ms": ms, "provider": _from_context("session_meta", "payload.model_provider"), "model": _from_context("turn_context", "payload.model"),
-        "input": last["input_tokens"], "output": last["output_tokens"], "reasoning": last["reasoning_output_tokens"], "read": read, "write": F.lit(None).cast("string"), "total": F.lit(None).cast("string"),
+        "session": nonblank(_from_context("session_meta", "payload.id")), "message": message, "request": F.lit(None).cast("string"), "ms": ms, "provider": _from_context("session_meta", "payload.model_provider"), "model": F.coalesce(nonblank(_from_context("turn_context", "payload.model")), F.col("__later")),
+        "input": last["input_tokens"], "output": last["output_tokens"], "reasoning": last["reasoning_output_tokens"], "read": F.greatest("__n_last_cached_input_tokens", "__n_last_cache_read_input_tokens").cast("string"), "write": F.lit(None).cast("string"), "total": F.lit(None).cast("string"),
     }
     groups = [[s["cached_input_tokens"], s["cache_read_input_tokens"]] for s in (last, whole)]
-    rows = _candidate(evidence.where("harness = 'codex' and is_usage"), raw, groups, "exact", strict_reasoning=True, inclusive_input=True)
-    proof = F.when(turn.isNotNull() & (F.col("provider") != "unknown") & (F.col("model") != "unknown") & has_whole, tuple_hash(turn, F.col("provider"), F.col("model"), snapshot)).otherwise("")
-    counts = F.when(has_whole, F.struct(*(F.coalesce(integer(v), F.lit(-1)).alias(c) for c, v in whole.items())))
-    return rows.withColumns({"turn": F.coalesce(turn, F.lit("")), "cumulative": counts, "fingerprint": proof})
+    has = F.col("__any_total")
+    also = Also(F.col("__wrong_last") | (has & F.col("__wrong_total")), F.col("__doubtful_last") | (has & F.col("__doubtful_total")))
+    proof = F.struct(F.coalesce(turn, F.lit("")).alias("turn"), F.when(has, F.struct(*(F.coalesce(f"__n_total_{c}", F.lit(-1)).alias(c) for c in CODEX_COUNTERS))).alias("cumulative"), (turn.isNotNull() & F.col("__complete_last") & F.col("__complete_total")).alias("complete"), F.col("__snapshot").alias("snapshot"))
+    found = _candidate(rows, raw, groups, "exact", strict_reasoning=True, inclusive_input=True, also=also, keep={"proof": proof})
+    known = F.col("proof.complete") & (F.col("provider") != "unknown") & (F.col("model") != "unknown") & (F.col("code") == "")
+    print_ = F.when(known, tuple_hash(F.col("proof.turn"), F.col("provider"), F.col("model"), F.col("proof.snapshot"))).otherwise("")
+    return found.withColumns({"turn": F.col("proof.turn"), "cumulative": F.col("proof.cumulative"), "fingerprint": print_}).drop("proof")
 
 
 def identified(candidates: DataFrame) -> DataFrame:

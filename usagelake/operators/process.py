@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import kept
 from .ancestry import resolve_copies
+from .facts import estimate_rows, fact_rows
 from .interpret import claude, codex, identified, opencode, pi
 from .resolve import contributions, estimates, provenance, resolve
 
@@ -16,19 +18,23 @@ _EXTRA = ("turn", "cumulative", "fingerprint")
 
 @dataclass(frozen=True)
 class Projection:
+    """facts and estimates have the columns of their tables."""
+
     facts: DataFrame
     estimates: DataFrame
     outcomes: DataFrame
     provenance: DataFrame
 
 
-def process(evidence: DataFrame) -> Projection:
+def process(evidence: DataFrame, dataset: str = "default", generation: int = 1, revision: int = 0) -> Projection:
     """All of a dataset's evidence at once; equal rows of evidence count once."""
     rows = evidence.dropDuplicates(["harness", "format", "source_id", "lineage", "ordinal", "data"])
-    plain = pi(rows).unionByName(claude(rows)).unionByName(opencode(rows))
-    copies = identified(codex(rows))
+    # Written once each: everything below reads them several times.
+    plain = kept(identified(pi(rows).unionByName(claude(rows)).unionByName(opencode(rows))))
+    copies = kept(identified(codex(rows)))
     good = resolve_copies(copies.where("usable"), rows).drop(*_EXTRA)
-    resolved = resolve(identified(plain).where("usable").unionByName(good.select(*identified(plain).columns)))
+    resolved = kept(resolve(plain.where("usable").unionByName(good.select(*plain.columns))))
     bad = plain.where("not usable").select("evidence_id").unionByName(copies.where("not usable").select("evidence_id"))
     outcomes = resolved.select("evidence_id", "fact_id", "disposition", F.col("outcome_code").alias("code")).unionByName(bad.select("evidence_id", F.lit("").alias("fact_id"), F.lit("ambiguous").alias("disposition"), F.lit("unusable_usage").alias("code")))
-    return Projection(contributions(resolved), estimates(resolved), outcomes, provenance(resolved))
+    at = (dataset, generation, revision)
+    return Projection(fact_rows(contributions(resolved), *at), estimate_rows(estimates(resolved), *at), outcomes, provenance(resolved))

@@ -61,7 +61,9 @@ def oversized(df: DataFrame) -> DataFrame:
 
 def source_id(harness: str, root: str, path: Column) -> Column:
     """A hash of the path below the root, so that evidence moves with its folder."""
-    below = F.regexp_replace(path, f"^.*?{root.rstrip('/').replace('.', '[.]')}/", "")
+    inside = root.rstrip("/") + "/"
+    at = F.instr(path, inside)
+    below = F.when(at > 0, F.substr(path, at + len(inside))).otherwise(path)
     return F.sha2(F.to_json(F.array(F.lit(harness), below)), 256)
 
 

@@ -14,10 +14,10 @@ from ..schemas import HARNESSES
 
 #: The leaves that each harness's records may keep.
 LEAVES = {
-    "pi": ["type", "version", "id", "timestamp", "message.role", "message.provider", "message.model", "message.timestamp", "message.usage.input", "message.usage.output", "message.usage.reasoning", "message.usage.cacheRead", "message.usage.cacheWrite", "message.usage.totalTokens"],
-    "claude-code": ["type", "timestamp", "uuid", "sessionId", "session_id", "requestId", "request_id", "message.id", "message.role", "message.provider", "message.model", "message.usage.input_tokens", "message.usage.output_tokens", "message.usage.cache_read_input_tokens", "message.usage.cache_creation_input_tokens", "message.usage.total_tokens", "message.usage.output_tokens_details.thinking_tokens", "message.usage.output_tokens_details.reasoning_tokens"],
+    "pi": ["type", "id", "timestamp", "message.role", "message.provider", "message.model", "message.timestamp", "message.usage.input", "message.usage.output", "message.usage.reasoning", "message.usage.cacheRead", "message.usage.cacheWrite", "message.usage.totalTokens"],
+    "claude-code": ["type", "timestamp", "uuid", "sessionId", "session_id", "requestId", "request_id", "message.role", "message.id", "message.provider", "message.provider_id", "message.providerID", "message.model", "message.model_id", "message.modelID", "message.usage.input_tokens", "message.usage.output_tokens", "message.usage.cache_read_input_tokens", "message.usage.cache_creation_input_tokens", "message.usage.total_tokens", "message.usage.output_tokens_details.thinking_tokens", "message.usage.output_tokens_details.reasoning_tokens"],
     "codex": ["timestamp", "type", "payload.type", "payload.id", "payload.turn_id", "payload.model", "payload.model_provider", "payload.forked_from_id", "payload.parent_thread_id", "payload.source.subagent.thread_spawn.parent_thread_id", *(f"payload.info.{s}.{c}" for s in ("last_token_usage", "total_token_usage") for c in ("input_tokens", "cached_input_tokens", "cache_read_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"))],
-    "opencode": ["id", "session_id", "type", "time_created", "time_updated", "data.role", "data.providerID", "data.modelID", "data.model.providerID", "data.model.id", *(f"data.tokens.{c}" for c in ("input", "output", "reasoning", "cache.read", "cache.write")), "data.time.created", "data.time.completed"],
+    "opencode": ["id", "session_id", "type", "time_created", "data.role", "data.providerID", "data.modelID", "data.model.providerID", "data.model.id", *(f"data.tokens.{c}" for c in ("input", "output", "reasoning", "cache.read", "cache.write")), "data.time.created", "data.time.completed"],
 }
 
 
