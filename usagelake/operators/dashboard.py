@@ -15,6 +15,7 @@ from ..functions.calendar import bucket
 from ..functions.text import ascii_lower, or_unknown
 from ..plans.query import CHART_ROWS, FACET_ROWS, MOST_ROWS, SESSION_ROWS, SORT_COLUMNS, TIMELINE_ROWS, Query, instants, normalize
 from ..schemas import SAFE_INTEGER
+from .facts import in_days
 
 COUNTS = ("input", "output", "reasoning", "cache_read", "cache_write", "total")
 NUMBERS = ("sessions", *COUNTS, "context", "average_context", "median_context", "max_context")
@@ -35,9 +36,12 @@ class Clock:
 
 
 def filtered(facts: DataFrame, q: Query, clock: Clock) -> DataFrame:
-    """Countable facts in the query's range with its dimensions. Location filters hold on the repo tab only."""
+    """Countable facts in the query's range with its dimensions. Location filters hold on the repo tab only. A table with a day
+    column is read in the range's days only."""
     out = facts.where("countable")
     start, end = instants(q.selection, clock.now_ms, clock.zone)
+    if "day" in facts.columns:
+        out = in_days(out, start, end)
     if start is not None:
         out = out.where(F.col("occurred_at_ms") >= start)
     if end is not None:
@@ -71,6 +75,11 @@ def _names(column: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), ", ")
 
 
+def _sessions() -> Column:
+    """A session's id follows from these two, which need no hashing."""
+    return guarded(F.countDistinct("harness", "session_native_id"))
+
+
 def _load() -> Column:
     return F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
 
@@ -107,8 +116,11 @@ def grouped(facts: DataFrame, q: Query, clock: Clock) -> DataFrame:
         F.when(only, F.min("repository_key")).otherwise("unknown").alias("repository_key"),
         F.when(only, F.min("repository_name")).otherwise("unknown").alias("repository_name"),
     ] if repo else [F.lit("").alias("location_name"), F.lit("[]").alias("directory_names"), F.lit(False).alias("unknown_directory"), F.lit("").alias("repository_key"), F.lit("").alias("repository_name")]
+    # A dimension that rows are grouped by has one value in each, and a session's row has one session.
+    own = lambda c: F.first(c).alias(c) if c in by else _names(c).alias(c)
+    sessions = F.lit(1).cast("bigint") if q.tab == "sessions" else _sessions()
     out = keyed.groupBy(*(f"g_{n}" for n in by)).agg(
-        *(_names(c).alias(c) for c in ("harness", "provider", "model")), F.max("occurred_at_ms").alias("date"), guarded(F.countDistinct("session_id")).alias("sessions"),
+        *(own(c) for c in ("harness", "provider", "model")), F.max("occurred_at_ms").alias("date"), sessions.alias("sessions"),
         *_sums(), guarded(F.max(_load())).alias("context"), *(where if repo else []),
     )
     if not repo:
@@ -121,16 +133,19 @@ def grouped(facts: DataFrame, q: Query, clock: Clock) -> DataFrame:
 
 
 def _context(rows: DataFrame) -> DataFrame:
-    """Each session's peak first, then mean, median and maximum of a model's peaks, rounded down."""
+    """Each session's peak first, then mean, median and maximum of a model's peaks, rounded down. Sessions with equal peaks are
+    counted before anything is ordered, so that a group's window has a row for each different peak only."""
     by = ("harness", "provider", "model")
-    peaks = rows.groupBy(*by, "session_id").agg(F.max(_load()).alias("peak"), F.max("occurred_at_ms").alias("latest"))
-    ranks = Window.partitionBy(*by)
-    ranked = peaks.select("*", F.row_number().over(ranks.orderBy("peak")).alias("position"), F.count("*").over(ranks).alias("size"))
-    middle = F.col("position").isin(F.expr("(size + 1) div 2"), F.expr("(size + 2) div 2"))
+    peaks = rows.groupBy(*by, "session_native_id").agg(F.max(_load()).alias("peak"), F.max("occurred_at_ms").alias("latest"))
+    counted = peaks.groupBy(*by, "peak").agg(F.count("*").alias("n"), F.max("latest").alias("latest"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("n").over(group.orderBy("peak").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.select("*", upto.alias("upto"), F.sum("n").over(group).alias("size"))
+    at = lambda place: F.min(F.when(F.col("upto") >= F.expr(place), F.col("peak")))
     out = ranked.groupBy(*by).agg(
-        F.max("latest").alias("date"), F.count("*").alias("sessions"), F.expr("sum(peak) div count(*)").alias("average_context"),
-        F.floor(F.sum(F.when(middle, F.col("peak")).otherwise(0)) / F.sum(F.when(middle, 1).otherwise(0))).alias("median_context"), F.max("peak").alias("max_context"),
-    )
+        F.max("latest").alias("date"), F.sum("n").alias("sessions"), F.expr("sum(peak * n) div sum(n)").alias("average_context"),
+        at("(size + 1) div 2").alias("low"), at("(size + 2) div 2").alias("high"), F.max("peak").alias("max_context"),
+    ).withColumn("median_context", F.expr("low + (high - low) div 2"))
     empty = {c: F.lit("") for c in ("location_key", "location_name", "repository_key", "repository_name")} | {"directory_names": F.lit("[]"), "unknown_directory": F.lit(False)}
     zero = {c: F.lit(0).cast("bigint") for c in (*COUNTS, "context")}
     return out.withColumns({"key": F.concat_ws(":", *by), "name": F.col("model")} | zero | empty).withColumns({c: guarded(F.col(c)) for c in ("average_context", "median_context", "max_context")}).select(*ROW)
@@ -158,12 +173,12 @@ def chart(facts: DataFrame, q: Query, clock: Clock) -> DataFrame:
 
 def summary(facts: DataFrame, q: Query, clock: Clock) -> DataFrame:
     """One row: sums, sessions and facts of the selection."""
-    return filtered(facts, q, clock).agg(*_sums(), guarded(F.countDistinct("session_id")).alias("sessions"), F.count("*").alias("facts"))
+    return filtered(facts, q, clock).agg(*_sums(), _sessions().alias("sessions"), F.count("*").alias("facts"))
 
 
 def synced_sessions(facts: DataFrame) -> DataFrame:
     """One row: sessions of all countable facts, whatever the selection."""
-    return facts.where("countable").agg(guarded(F.countDistinct("session_id")).alias("synced_sessions"))
+    return facts.where("countable").agg(_sessions().alias("synced_sessions"))
 
 
 def facet(facts: DataFrame, q: Query, clock: Clock, name: str, search: str = "") -> DataFrame:
