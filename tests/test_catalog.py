@@ -33,11 +33,4 @@ def test_every_query_has_sql():
 
 
 def test_receipts_of_all_lines(spark, oracle):
-    assert catalog.QUERIES["receipt_join_all"](spark, DATA).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
-
-
-def test_labels_of_whole_texts(spark, oracle):
-    found = {tuple(r) for r in catalog.QUERIES["location_label_text"](spark, DATA).collect()}
-    first = {tuple(r) for r in catalog.QUERIES["location_label"](spark, DATA).collect()}
-    short = {r[0] for r in oracle.execute("SELECT doc_id FROM documents WHERE length(split_part(text, chr(10), 1)) BETWEEN 1 AND 40 AND length(text) > 100").fetchall()}
-    assert short and {i for i, _ in found - first} & short
+    assert catalog.QUERIES["receipt_join"](spark, DATA).count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ledger
+from . import ledger, native
 from .functions import calendar, text
 from .operators import context, dashboard, graph, relational, resolve
 from .plans.query import Query, Selection, instants, normalize
@@ -216,10 +216,7 @@ def _receipt(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     return relational.receipt(items, evidence, scopes, outcomes)
 
 
-_add("receipt_join", lambda s, d: _receipt(s, d, ledger.table(s, d, "lineitem").where("l_orderkey % 50 = 0")), """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_orderkey % 50 = 0)
-SELECT sequence, evidence_id, scope, CASE current WHEN 1 THEN o_orderstatus ELSE 'pending' END AS disposition, CASE current WHEN 1 THEN o_orderpriority ELSE '' END AS code FROM j""")
-_add("receipt_join_all", lambda s, d: _receipt(s, d, ledger.table(s, d, "lineitem")), """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
+_add("receipt_join", lambda s, d: _receipt(s, d, ledger.table(s, d, "lineitem")), """WITH j AS (SELECT l_orderkey * 10 + l_linenumber AS sequence, l_orderkey AS evidence_id, o_custkey AS scope, CASE WHEN l_orderkey % 4 <> 1 AND o_custkey % 25 = c_nationkey THEN 1 ELSE 0 END AS current, o_orderstatus, o_orderpriority
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)
 SELECT sequence, evidence_id, scope, CASE current WHEN 1 THEN o_orderstatus ELSE 'pending' END AS disposition, CASE current WHEN 1 THEN o_orderpriority ELSE '' END AS code FROM j""")
 _add("provenance_set", lambda s, d: relational.provenance(ledger.table(s, d, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_suppkey").alias("evidence_id"))), "SELECT DISTINCT l_orderkey AS fact_id, l_suppkey AS evidence_id FROM lineitem")
@@ -331,8 +328,7 @@ _add(
     lambda s, d: ledger.table(s, d, "pages").select("page_id", text.remote_identity(F.regexp_replace("url", "[?#].*$", "")).alias("identity")),
     r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^https?://([^/:]+)', 1)) || '/' || regexp_extract(u, '^https?://[^/]+/+(.+)$', 1), '/+$', ''), '\.git$', '') AS identity FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)""",
 )
-_add("location_label", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.split("text", "\n")[0]).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(split_part(text, chr(10), 1), '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
-_add("location_label_text", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.col("text")).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
+_add("location_label", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.col("text")).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
 _add("fact_identity", lambda s, d: ledger.facts(s, d).select("event_id", text.tuple_hash("fact-v1", "default", F.col("harness"), F.col("session_native_id"), F.col("message_native_id"), "", "message").alias("fact_id")), ledger.FACTS_SQL + """ SELECT event_id, sha256('["fact-v1","default","' || harness || '","' || session_native_id || '","' || message_native_id || '","","message"]') AS fact_id FROM facts""")
 _add("token_sums", lambda s, d: ledger.facts(s, d).groupBy("harness").agg(F.sum(text.token_sum(F.col("input_tokens"), F.col("output_tokens"), F.when(F.col("reasoning_tokens") > 0, F.col("reasoning_tokens")))).alias("n")), ledger.FACTS_SQL + " SELECT harness, CAST(sum(input_tokens + output_tokens + reasoning_tokens) AS BIGINT) AS n FROM facts GROUP BY harness")
 _add("compact_counts", lambda s, d: ledger.table(s, d, "orders").select("o_orderkey", text.compact_count(F.floor("o_totalprice")).alias("shown")), """SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) ELSE CAST(t // 10 AS VARCHAR) || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || CAST(t % 10 AS VARCHAR) END || CASE WHEN n < 1000000 THEN 'K' ELSE 'M' END END AS shown
@@ -341,5 +337,15 @@ _add("exact_counts", lambda s, d: ledger.table(s, d, "orders").select("o_orderke
 _add("chart_labels", lambda s, d: ledger.table(s, d, "part").select("p_partkey", text.chart_label(F.col("p_name")).alias("label")), "SELECT p_partkey, CASE WHEN length(p_name) > 17 THEN substr(p_name, 1, 15) || '…' ELSE p_name END AS label FROM part")
 _add("calendar_buckets", lambda s, d: ledger.facts(s, d).select("event_id", *(calendar.bucket("occurred_at_ms", "America/New_York", u).alias(u) for u in calendar.UNITS)), ledger.FACTS_SQL + f" SELECT event_id, {', '.join(f'{_sql_bucket("America/New_York", u)} AS {u}' for u in calendar.UNITS)} FROM facts")
 _add("options_with_selected", lambda s, d: relational.options_with_selected(dashboard.facet(ledger.facts(s, d), _FACET_QUERY, UTC, "models"), ["model-1", "gone", ""]), ledger.FACTS_SQL + f", o AS (SELECT DISTINCT model AS key, model AS name FROM {_sql_where(replace(_FACET_QUERY, selection=replace(_FACET_QUERY.selection, models=())), UTC)}) SELECT * FROM o UNION ALL SELECT * FROM (VALUES ('gone', 'gone'), ('', 'unknown')) v(key, name) WHERE key NOT IN (SELECT key FROM o)")
-_add("usage_records", lambda s, d: _turns(s, d).where(F.col("role") == "assistant").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("size").alias("size")), _TURNS_SQL + " SELECT conv_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM t WHERE role = 'assistant' GROUP BY conv_id")
+
+
+# From native records to facts -----------------------------------------------------------------------------------------
+_NATIVE = ", ".join(native.COLUMNS)
+_add("native_facts", lambda s, d: native.projection(s, d).facts.select(*native.COLUMNS), f"{native.SQL} SELECT {_NATIVE} FROM native WHERE code = ''")
+_add("native_estimates", lambda s, d: native.projection(s, d).estimates.select(*native.COLUMNS, "reason_code"), f"{native.SQL} SELECT {_NATIVE}, code AS reason_code FROM native WHERE code NOT IN ('', 'unusable')")
+_add("native_outcomes", lambda s, d: native.projection(s, d).outcomes.groupBy("disposition", "code").agg(F.count("*").alias("n")), f"""{native.SQL}
+SELECT CASE code WHEN '' THEN 'processed' ELSE 'ambiguous' END AS disposition, CASE code WHEN 'unusable' THEN 'unusable_usage' ELSE code END AS code, count(*) AS n FROM native GROUP BY ALL""")
+_NATIVE_QUERY = normalize(Query("providers", ALL))
+_add("native_dashboard", lambda s, d: dashboard.page(native.projection(s, d).facts, _NATIVE_QUERY, UTC), f"{native.SQL}, facts AS (SELECT *, '' AS directory_name, '' AS repository_name FROM native WHERE code = ''), grouped AS ({_sql_rows(_NATIVE_QUERY, UTC)}) SELECT * FROM grouped ORDER BY total DESC, key ASC LIMIT {_NATIVE_QUERY.page_size}")
+_add("usage_records", lambda s, d: native.evidence(s, d).groupBy("harness").agg(F.count_if("is_usage").alias("n"), F.count("*").alias("records")), f"{native.SQL} SELECT harness, count(*) AS n, count(*) AS records FROM native GROUP BY harness")
 _add("batch_bytes", lambda s, d: ledger.table(s, d, "pages").select("page_id", F.sum(F.octet_length("html")).over(Window.partitionBy(F.expr("page_id div 100")).orderBy("page_id")).alias("bytes_so_far")), "SELECT page_id, CAST(sum(strlen(html)) OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS BIGINT) AS bytes_so_far FROM pages")
