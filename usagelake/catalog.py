@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ledger, native
-from .functions import calendar, text
-from .operators import context, dashboard, graph, relational, resolve
+from .functions import calendar, location, text
+from .operators import context, dashboard, delivery, graph, relational, resolve
+from .operators.location import session_locations
 from .plans.query import Query, Selection, instants, normalize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,13 +224,23 @@ _add("provenance_set", lambda s, d: relational.provenance(ledger.table(s, d, "li
 
 
 def _location_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = ledger.table(spark, sf_dir, "nation"), ledger.table(spark, sf_dir, "region").where("r_regionkey <> 2")
-    c = ledger.table(spark, sf_dir, "customer")
-    joined = c.join(nation, c["c_nationkey"] == nation["n_nationkey"], "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.groupBy(F.coalesce("r_name", F.lit("unknown")).alias("location"), "n_name").agg(F.count("*").alias("sessions"))
+    """Customers as sessions in directories of five kinds, nations as projects."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    kinds = [F.concat(F.lit("/home/u"), (k % 7).cast("string"), F.lit("/src//n"), n.cast("string"), F.lit("/./x/..")), F.concat(F.lit("C:\\Users\\u3\\n"), n.cast("string")), F.concat(F.lit("relative/n"), n.cast("string")), F.concat(F.lit(" /srv/n"), n.cast("string"), F.lit("/")), F.lit("")]
+    directory = kinds[4]
+    for i in range(4):
+        directory = F.when(k % 5 == i, kinds[i]).otherwise(directory)
+    customers = ledger.table(spark, sf_dir, "customer")
+    sessions = customers.select(k.alias("id"), directory.alias("directory"), F.concat(F.lit("p"), n.cast("string")).alias("project_id"))
+    projects = ledger.table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.when(F.col("n_regionkey") == 2, "svn").otherwise("git").alias("vcs"))
+    found = session_locations(customers.select(k.alias("session_native_id")), sessions, projects)
+    return found.groupBy("directory_key", "directory_name", "repository_key", "repository_name", "repository_source").agg(F.count("*").alias("sessions"))
 
 
-_add("location_join", _location_join, "SELECT coalesce(r_name, 'unknown') AS location, n_name, count(*) AS sessions FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON r_regionkey = n_regionkey GROUP BY ALL")
+_add("location_join", _location_join, """WITH c AS (SELECT c_custkey % 5 AS kind, c_nationkey AS n, c_custkey % 7 AS u, n_regionkey <> 2 AS tracked FROM customer JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT *, CASE kind WHEN 0 THEN '/home/u' || u || '/src/n' || n WHEN 1 THEN 'C:/Users/u3/n' || n WHEN 3 THEN '/srv/n' || n END AS path, CASE kind WHEN 0 THEN '~/src/n' || n WHEN 1 THEN '~/n' || n WHEN 3 THEN '/srv/n' || n ELSE '' END AS directory_name FROM c)
+SELECT coalesce(sha256('directory:' || path), '') AS directory_key, directory_name, CASE WHEN tracked THEN sha256('opencode-project:p' || n) ELSE '' END AS repository_key,
+CASE WHEN NOT tracked THEN '' WHEN path IS NULL THEN 'unknown' ELSE 'n' || n END AS repository_name, CASE WHEN tracked THEN 'opencode-project' ELSE '' END AS repository_source, count(*) AS sessions FROM p GROUP BY ALL""")
 
 
 # Graphs ---------------------------------------------------------------------------------------------------------------
@@ -325,7 +336,7 @@ coalesce(strlen(regexp_extract(url, '://([^/]*)', 1)) <= 256 AND NOT regexp_matc
 )
 _add(
     "remote_identity",
-    lambda s, d: ledger.table(s, d, "pages").select("page_id", text.remote_identity(F.regexp_replace("url", "[?#].*$", "")).alias("identity")),
+    lambda s, d: ledger.table(s, d, "pages").select("page_id", location.remote_identity(F.regexp_replace("url", "[?#].*$", "")).alias("identity")),
     r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^https?://([^/:]+)', 1)) || '/' || regexp_extract(u, '^https?://[^/]+/+(.+)$', 1), '/+$', ''), '\.git$', '') AS identity FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)""",
 )
 _add("location_label", lambda s, d: ledger.table(s, d, "documents").select("doc_id", text.location_label(F.col("text")).alias("label")), r"""SELECT doc_id, CASE WHEN t IN ('', '.') THEN 'unknown' ELSE t END AS label FROM (SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), 1, 48) AS t FROM documents)""")
@@ -348,4 +359,7 @@ SELECT CASE code WHEN '' THEN 'processed' ELSE 'ambiguous' END AS disposition, C
 _NATIVE_QUERY = normalize(Query("providers", ALL))
 _add("native_dashboard", lambda s, d: dashboard.page(native.projection(s, d).facts, _NATIVE_QUERY, UTC), f"{native.SQL}, facts AS (SELECT *, '' AS directory_name, '' AS repository_name FROM native WHERE code = ''), grouped AS ({_sql_rows(_NATIVE_QUERY, UTC)}) SELECT * FROM grouped ORDER BY total DESC, key ASC LIMIT {_NATIVE_QUERY.page_size}")
 _add("usage_records", lambda s, d: native.evidence(s, d).groupBy("harness").agg(F.count_if("is_usage").alias("n"), F.count("*").alias("records")), f"{native.SQL} SELECT harness, count(*) AS n, count(*) AS records FROM native GROUP BY harness")
-_add("batch_bytes", lambda s, d: ledger.table(s, d, "pages").select("page_id", F.sum(F.octet_length("html")).over(Window.partitionBy(F.expr("page_id div 100")).orderBy("page_id")).alias("bytes_so_far")), "SELECT page_id, CAST(sum(strlen(html)) OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS BIGINT) AS bytes_so_far FROM pages")
+_add("batch_bytes", lambda s, d: delivery.batched(ledger.table(s, d, "pages"), F.expr("page_id div 100"), "page_id", F.octet_length("html"), 20, 100_000), """WITH RECURSIVE p AS (SELECT CAST(page_id // 100 AS VARCHAR) AS queue, page_id AS sequence, strlen(html) AS size, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS n FROM pages),
+b AS (SELECT queue, sequence, n, CAST(0 AS BIGINT) AS batch, 1 AS held, size AS bytes FROM p WHERE n = 1
+UNION ALL SELECT p.queue, p.sequence, p.n, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN batch + 1 ELSE batch END, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN 1 ELSE held + 1 END, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN p.size ELSE bytes + p.size END FROM b JOIN p ON p.queue = b.queue AND p.n = b.n + 1)
+SELECT queue, sequence, batch FROM b""")

@@ -31,10 +31,6 @@ def safe_metadata(c: Column) -> Column:
     return F.coalesce((F.octet_length(c) <= 256) & ~c.rlike(UNSAFE), F.lit(False))
 
 
-def opaque_id(c: Column) -> Column:
-    return (c != "") & safe_metadata(c) & ~F.contains(c, F.lit("/")) & ~F.contains(c, F.lit(" "))
-
-
 def integer(c: Column) -> Column:
     """A whole number from JSON text; null for fractions, exponents and anything else."""
     return F.when(F.trim(c).rlike(r"^[+-]?\d+$"), F.trim(c).try_cast("bigint"))
@@ -71,24 +67,6 @@ def location_label(c: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).isin("", "."), F.lit("unknown")).otherwise(text)
 
 
-def repository_rank(source: Column) -> Column:
-    rank = F.lit(0)
-    for name, value in (("opencode-project", 1), ("git-common-dir", 2), ("git-remote", 3), ("harness", 4)):
-        rank = F.when(source == name, value).otherwise(rank)
-    return rank
-
-
-def remote_identity(remote: Column) -> Column:
-    """host[:port]/path of a git remote (URL or user@host:path): lower-case host, without user, default port and .git."""
-    scp = r"^(?:[^@/:]+@)?([^/:@]+):(?!//)([^:]+)$"
-    url = r"^(https?|ssh|git)://(?:[^@/]*@)?([^/:]+)(?::(\d+))?/+(.+)$"
-    port = F.regexp_extract(remote, url, 3)
-    default = F.when(F.regexp_extract(remote, url, 1) == "https", "443").when(F.regexp_extract(remote, url, 1) == "http", "80").when(F.regexp_extract(remote, url, 1) == "ssh", "22").otherwise("9418")
-    host = F.concat(F.lower(F.regexp_extract(remote, url, 2)), F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""))
-    raw = F.when(remote.rlike(url), F.concat(host, F.lit("/"), F.regexp_extract(remote, url, 4))).when(remote.rlike(scp), F.concat(F.lower(F.regexp_extract(remote, scp, 1)), F.lit("/"), F.regexp_replace(F.regexp_extract(remote, scp, 2), "^/+", "")))
-    return F.regexp_replace(F.regexp_replace(raw, "/+$", ""), r"\.git$", "")
-
-
 def exact_count(n: Column) -> Column:
     return F.format_number(n, 0)
 
@@ -105,5 +83,8 @@ def compact_count(n: Column) -> Column:
 
 
 def chart_label(c: Column) -> Column:
-    """At most 17 characters; longer ones keep 15 and an ellipsis."""
-    return F.when(F.length(c) > 17, F.concat(F.substring(c, 1, 15), F.lit("…"))).otherwise(c)
+    """At most 17 UTF-16 units; longer ones keep 15 and an ellipsis, without half a character."""
+    units = lambda x: F.length(x) + F.regexp_count(x, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    kept = F.regexp_extract(c, r"^(?:[\x{0}-\x{FFFF}]|[\x{10000}-\x{10FFFF}]){0,15}", 0)
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(8)), kept, lambda acc, _: F.when(units(acc) > 15, F.substring(acc, 1, F.length(acc) - 1)).otherwise(acc))
+    return F.when(units(c) > 17, F.concat(short, F.lit("…"))).otherwise(c)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +36,3 @@ def high_water(rows: DataFrame, session: str = "session_id", order: tuple[str, .
     mark = F.max(counter).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     code = F.when(F.col(counter) == mark, "known_duplicate").when(F.col(counter) < mark, "stale_snapshot").otherwise("")
     return numbered.withColumn("code", code).drop("__changed", "__run")
-
-
-def fold(rows: DataFrame, key: str, step, schema: str) -> DataFrame:
-    """A procedural fold over each group, for what no window expresses; a group must fit in one task's memory."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf)
-
-    return rows.groupBy(key).applyInPandas(run, schema)
-
-
-def batches_of(rows: Iterator, limit_rows: int = 256, limit_bytes: int = 1 << 20) -> Iterator[list]:
-    """Greedy prefixes of (value, size) that stay within both limits; a value beyond the byte limit stands alone."""
-    held, size = [], 0
-    for value, n in rows:
-        if held and (len(held) == limit_rows or size + n > limit_bytes):
-            yield held
-            held, size = [], 0
-        held.append(value)
-        size += n
-    if held:
-        yield held
