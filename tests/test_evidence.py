@@ -93,6 +93,10 @@ def test_incremental_equals_whole(spark, tmp_path):
     work.accept(frame(rows[5:]), "2")
     with pytest.raises(Conflict):
         work.accept(frame(rows[:2]), "2")
+    with pytest.raises(Conflict):
+        work.accept(frame([("e1", "s1", [], 100)]), "3")  # an id with other content
+    with pytest.raises(Conflict):
+        work.store.publish(work.store.manifest())  # a revision that is there
     wanted = sorted(map(tuple, sums(frame(rows)).collect()))
     assert sorted(map(tuple, work.store.read("facts").select("scope", "n").collect())) == wanted
     assert work.store.read("facts", first).count() == 3  # an earlier manifest still reads its own state

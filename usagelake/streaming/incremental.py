@@ -1,8 +1,10 @@
 """Facts kept up to date as evidence arrives.
 
 Every batch adds new evidence (by identity; a batch seen before adds nothing), finds the groups of scopes that it touches,
-interprets those groups anew from all their evidence, and replaces just their rows. Late evidence is never dropped. What is
-visible is named by one manifest file, swapped as the last step; an interrupted batch leaves the old manifest.
+interprets those groups anew from all their evidence, and replaces just their rows: facts lie in buckets of scopes, and only
+buckets that the batch touches are written. Late evidence is never dropped. What is visible is named by manifests, one file
+for each revision, of which the highest counts; a file appears whole or not at all, so an interrupted batch changes nothing,
+and of two writers of one revision the second fails.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.graph import component_labels
 from ..operators.relational import replace_scopes
+from ..storage import kept
+
+#: Facts lie in so many buckets; a table of more parts is written as one; so many batches are remembered.
+BUCKETS, MOST_PATHS, MOST_BATCHES = 64, 64, 10_000
 
 
 class Conflict(ValueError):
@@ -31,36 +37,76 @@ class Store:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _revisions(self) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.folder}/manifest-*.json")) or []
+        return sorted(int(str(f.getPath().getName())[len("manifest-") : -len(".json")]) for f in found)
+
+    def _manifest_path(self, revision: int):
+        return self._path(f"{self.folder}/manifest-{revision:012d}.json")
+
     def manifest(self) -> dict:
-        path = self._path(f"{self.folder}/manifest.json")
-        if not self._fs.exists(path):
+        """The highest revision's."""
+        if not (known := self._revisions()):
             return {"generation": 1, "revision": 0, "batches": {}, "tables": {}}
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._manifest_path(known[-1]))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def publish(self, manifest: dict) -> None:
-        """Replaces the manifest by a rename."""
-        new = self._path(f"{self.folder}/manifest-{uuid.uuid4().hex}")
+    def publish(self, manifest: dict, keep: int = 100) -> None:
+        """Adds the manifest of the next revision by a rename; Conflict if that revision is there already. The last `keep` stay."""
+        final = self._manifest_path(manifest["revision"])
+        new = self._path(f"{self.folder}/.new-{uuid.uuid4().hex}")
         stream = self._fs.create(new)
         stream.write(json.dumps(manifest).encode())
         stream.close()
-        old = self._path(f"{self.folder}/manifest.json")
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            self._fs.delete(new, False)
+            raise Conflict(f"revision {manifest['revision']} was written by another")
+        for old in self._revisions()[:-keep]:
+            self._fs.delete(self._manifest_path(old), False)
 
     def read(self, name: str, manifest: dict | None = None) -> DataFrame | None:
         """The table as of the manifest: a reader that keeps one sees a single state throughout."""
         entry = (manifest or self.manifest())["tables"].get(name)
-        return self.spark.read.schema(entry["schema"]).parquet(*entry["paths"]) if entry else None
+        return self._load(entry, entry["paths"]) if entry and entry["paths"] else None
+
+    def _load(self, entry: dict, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(entry["schema"]).parquet(*paths)
 
     def write(self, df: DataFrame, name: str) -> dict:
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return {"schema": _ddl(df), "paths": [path]}
 
+    def append(self, entry: dict | None, df: DataFrame, name: str) -> tuple[dict, DataFrame]:
+        """The entry with df's rows added, and these rows as written. A table of MOST_PATHS parts is written anew as one."""
+        new = self.write(df, name)
+        paths = (entry or {"paths": []})["paths"]
+        if len(paths) >= MOST_PATHS:
+            paths = self.write(self._load(new, paths), name)["paths"]
+        return {"schema": new["schema"], "paths": paths + new["paths"]}, self._load(new, new["paths"])
+
+    def replace(self, entry: dict | None, rows: DataFrame, scopes: DataFrame, name: str) -> dict:
+        """The entry with rows in place of the scopes' rows. Only buckets of these scopes are read and written."""
+        touched = sorted(r["b"] for r in scopes.select(_bucket().alias("b")).distinct().collect())  # BUCKETS rows at most
+        buckets = dict((entry or {"buckets": {}})["buckets"])
+        old = [buckets[str(b)] for b in touched if str(b) in buckets]
+        if old:
+            rows = replace_scopes(self._load(entry, old), rows, scopes)
+        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        rows.withColumn("bucket", _bucket()).repartition("bucket", "scope").write.partitionBy("bucket").parquet(path)
+        there = {str(f.getPath().getName())[len("bucket=") :] for f in self._fs.globStatus(self._path(f"{path}/bucket=*")) or []}
+        for b in map(str, touched):
+            buckets.pop(b, None)
+        buckets |= {b: f"{path}/bucket={b}" for b in there}
+        return {"schema": _ddl(rows), "buckets": buckets, "paths": list(buckets.values())}
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("scope"), F.lit(BUCKETS)).cast("int")
+
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -74,26 +120,34 @@ class Incremental:
         self.store, self.interpret = store, interpret
 
     def accept(self, batch: DataFrame, batch_id: str) -> dict:
-        """Adds a batch and returns the manifest that shows it."""
-        m = self.store.manifest()
-        digest = batch.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(evidence_id))").alias("x")).first()
+        """Adds a batch and returns the manifest that shows it. Conflict: the batch's number has come with other rows, or an
+        evidence id with other content, here or before."""
+        m, columns = self.store.manifest(), sorted(batch.columns)
+        whole = F.xxhash64(*columns)
+        digest = batch.agg(F.count("*").alias("n"), F.sum(whole.cast("decimal(38,0)")).alias("x")).first()
         content = f"{digest['n']}:{digest['x']}"
         if batch_id in m["batches"]:
             if m["batches"][batch_id] != content:
                 raise Conflict(f"batch {batch_id} has other content than before")
             return m
-        stored, fresh = self.store.read("evidence", m), batch.dropDuplicates(["evidence_id"])
+        stored, marked = self.store.read("evidence", m), batch.withColumn("__content", whole)
+        seen = marked.select("evidence_id", "__content")
+        if stored is not None:
+            seen = seen.unionByName(stored.join(batch.select("evidence_id"), "evidence_id", "left_semi").select("evidence_id", whole.alias("__content")))
+        if not seen.groupBy("evidence_id").agg(F.min("__content").alias("a"), F.max("__content").alias("b")).where("a <> b").isEmpty():
+            raise Conflict("an evidence id has come with other content")
+        fresh = batch.dropDuplicates(["evidence_id"])
         if stored is not None:
             fresh = fresh.join(stored.select("evidence_id"), "evidence_id", "left_anti").select(*stored.columns)
-        new = self.store.write(fresh, "evidence")
-        entry = m["tables"].get("evidence", {"paths": []})
-        tables = m["tables"] | {"evidence": {"schema": new["schema"], "paths": entry["paths"] + new["paths"]}}
+        entry, new = self.store.append(m["tables"].get("evidence"), fresh, "evidence")
+        tables = m["tables"] | {"evidence": entry}
         evidence = self.store.read("evidence", {"tables": tables})
-        touched = self._touched(evidence, self.store.spark.read.schema(new["schema"]).parquet(*new["paths"]))
+        touched = kept(self._touched(evidence, new))
         facts = self.interpret(evidence.join(touched, "scope", "left_semi"))
-        old = self.store.read("facts", m)
-        tables["facts"] = self.store.write(facts if old is None else replace_scopes(old, facts, touched), "facts")
-        after = m | {"revision": m["revision"] + 1, "batches": m["batches"] | {batch_id: content}, "tables": tables}
+        tables["facts"] = self.store.replace(m["tables"].get("facts"), facts, touched, "facts")
+        # Batches of a stream are numbered; only the last ones can come again.
+        batches = dict([*m["batches"].items(), (batch_id, content)][-MOST_BATCHES:])
+        after = m | {"revision": m["revision"] + 1, "batches": batches, "tables": tables}
         self.store.publish(after)
         return after
 
@@ -112,7 +166,7 @@ class Incremental:
         m = self.store.manifest()
         self.interpret = interpret or self.interpret
         evidence = self.store.read("evidence", m)
-        tables = m["tables"] | ({"facts": self.store.write(self.interpret(evidence), "facts")} if evidence is not None else {})
+        tables = m["tables"] | ({"facts": self.store.replace(None, facts := self.interpret(evidence), facts.select("scope"), "facts")} if evidence is not None else {})
         after = m | {"generation": m["generation"] + 1, "revision": m["revision"] + 1, "tables": tables}
         self.store.publish(after)
         return after
