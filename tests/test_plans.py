@@ -55,3 +55,44 @@ def test_view():
     assert (view.share(1, 3000), view.share(1, 3), view.share(0, 0)) == ("<0.1%", "33.3%", "0%")
     assert view.shifted("month", date(2024, 1, 1), -1) == (date(2023, 12, 1), date(2023, 12, 31))
     assert view.is_complete("year", date(2024, 1, 1), date(2024, 12, 31)) and not view.is_complete("week", date(2024, 1, 2), date(2024, 1, 8))
+
+
+def test_labels():
+    today = date(2024, 1, 17)
+    q = Query("models", Selection(period="week"))
+    shown = view.navigation(q, today)
+    assert (shown.label, shown.at_current) == ("Jan 15 – 21, 2024", True)
+    assert view.navigation(q, today, date(2023, 12, 25)).label == "Dec 25 – 31, 2023" and not view.navigation(q, today, date(2024, 1, 8)).at_current
+    assert view.range_label("week", date(2023, 12, 27), date(2024, 1, 2)) == "Dec 27, 2023 – Jan 2, 2024" and view.range_label("week", date(2024, 1, 29), date(2024, 2, 4)) == "Jan 29 – Feb 4, 2024"
+    assert (view.range_label("month", today, today), view.range_label("year", today, today), view.range_label("today", today, today)) == ("January 2024", "2024", "Jan 17, 2024")
+    custom = Query("repo", Selection(day_from="2024-01-02", models=("m",)), repositories=("r",))
+    assert view.date_label(custom) == "2024-01-02 → Now" and view.navigation(custom, today) is None and view.active_filters(custom) == ["Model", "Repository", "Dates"]
+    assert view.date_label(Query("models", Selection(period="all"))) == "All time" and view.missing_name("directories") == "Directory (unavailable)"
+    assert view.custom_range_applies("", "2024-01-01") and not view.custom_range_applies("2024-01-02", "2024-01-01") and not view.custom_range_applies("", "")
+
+
+def test_status():
+    attempt = lambda stage, at, id_="x": {"id": id_, "stage": stage, "updated_ms": at}
+    state = lambda attempts, **more: view.sync_state(attempts, **({"pending": 0, "failed": 0, "retry_at_ms": 0, "now_ms": 10, "generation": 1, "target": 1} | more))
+    assert view.status(state([])) == ("Ready", "ready")
+    assert view.status(state([attempt("capturing", 1), attempt("accepted", 2)])) == ("Collecting usage", "loading")
+    assert view.status(state([attempt("accepted", 2)])) == ("Loading…", "loading") and view.status(state([attempt("accepted", 2)], checked="x/2")) == ("Ready", "ready")
+    assert view.status(state([attempt("failed", 2)], pending=3)) == ("Collection needs attention", "attention")
+    assert view.status(state([], pending=3)) == ("Processing usage", "loading") and view.status(state([], pending=3, failed=1, retry_at_ms=11)) == ("Processing retry pending", "attention")
+    assert view.status(state([], target=2)) == ("Processing usage", "loading") and view.status(state([], progress_failed=True)) == ("Collection status unavailable", "attention")
+    assert view.status(state([]), connection_failed=True, refresh_failed=True) == ("Connection unavailable", "attention") and view.status(state([]), fetching=True) == ("Refreshing usage…", "loading")
+
+
+def test_limits(spark):
+    from pyspark.errors import PySparkException
+
+    from usagelake.operators import dashboard
+
+    row = lambda i, n: ("default", f"s{i}", "pi", "p", f"m{i}", 1, True, n)
+    facts = lambda *rows: spark.createDataFrame(rows, "dataset_id string, session_native_id string, harness string, provider string, model string, occurred_at_ms long, countable boolean, input_tokens long").withColumns({c: dashboard.F.lit(0).cast("bigint") for c in ("output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens")}).withColumn("total_tokens", dashboard.F.col("input_tokens"))
+    q = Query("models", Selection(period="all"))
+    with pytest.raises(dashboard.TooManyRows):
+        dashboard.dashboard(facts(row(1, 1), row(2, 1)), q, dashboard.Clock(0), max_rows=1)
+    assert dashboard.dashboard(facts(row(1, 1), row(2, 1)), q, dashboard.Clock(0), max_rows=2).rows.count() == 2
+    with pytest.raises(PySparkException, match="aggregate_limit"):
+        dashboard.summary(facts(row(1, 2**52), row(2, 2**52)), normalize(q), dashboard.Clock(0)).collect()

@@ -135,6 +135,7 @@ for _quality in ("confirmed", "estimated"):
     _add(f"summary_{_quality}", lambda s, d, q=_q: dashboard.summary(_facts(s, d, q), q, UTC), f"{ledger.FACTS_SQL} SELECT {_SUMS}, count(DISTINCT session_id) AS sessions, count(*) AS facts FROM {_sql_where(_q, UTC)}")
 _add("synced_sessions", lambda s, d: dashboard.synced_sessions(ledger.facts(s, d)), f"{ledger.FACTS_SQL} SELECT count(DISTINCT session_id) AS synced_sessions FROM facts WHERE countable")
 
+_MODELS = normalize(Query("models", ALL))
 _FACET_QUERY = normalize(Query("repo", replace(_SOME, models=("model-1", "model-2", "model-3")), repositories=("unknown", "r1", "r2")))
 
 
@@ -347,6 +348,24 @@ FROM (SELECT *, CASE WHEN n < 1000000 THEN (n + 50) // 100 ELSE (n + 50000) // 1
 _add("exact_counts", lambda s, d: ledger.table(s, d, "orders").select("o_orderkey", text.exact_count(F.floor("o_totalprice")).alias("shown")), "SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS shown FROM orders")
 _add("chart_labels", lambda s, d: ledger.table(s, d, "part").select("p_partkey", text.chart_label(F.col("p_name")).alias("label")), "SELECT p_partkey, CASE WHEN length(p_name) > 17 THEN substr(p_name, 1, 15) || '…' ELSE p_name END AS label FROM part")
 _add("calendar_buckets", lambda s, d: ledger.facts(s, d).select("event_id", *(calendar.bucket("occurred_at_ms", "America/New_York", u).alias(u) for u in calendar.UNITS)), ledger.FACTS_SQL + f" SELECT event_id, {', '.join(f'{_sql_bucket("America/New_York", u)} AS {u}' for u in calendar.UNITS)} FROM facts")
+_add("plain_counts", lambda s, d: ledger.table(s, d, "orders").select("o_orderkey", text.plain_count((F.floor("o_totalprice") * (F.col("o_orderkey") % 40 - 3)).cast("bigint")).alias("tokens"), text.plain_context(F.floor("o_totalprice") * (F.col("o_orderkey") % 40)).alias("context")), """WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 40 - 3) AS n, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 40) AS c FROM orders)
+SELECT o_orderkey, CASE WHEN n = 0 THEN '' WHEN abs(n) < 1000 THEN CAST(n AS VARCHAR) WHEN abs(n) < 1000000 THEN CAST(sign(n) * (abs(n) // 1000) AS BIGINT) || 'K' ELSE CAST(sign(n) * (abs(n) // 1000000) AS BIGINT) || 'M' END AS tokens,
+CASE WHEN c = 0 THEN '' WHEN c < 1000 THEN CAST(c AS VARCHAR) WHEN c < 1000000 THEN (c + 999) // 1000 || 'k' ELSE c // 1000000 || 'M' END AS context FROM n""")
+_add("server_dates", lambda s, d: ledger.facts(s, d).select("event_id", calendar.server_date("occurred_at_ms", "Australia/Sydney").alias("day"), calendar.server_date("occurred_at_ms", "Australia/Sydney", True).alias("minute")), ledger.FACTS_SQL + """ SELECT event_id, strftime(t, '%b %-d, %Y') AS day, strftime(t, '%b %-d, %Y, %H:%M') AS minute FROM (SELECT event_id, timezone('Australia/Sydney', make_timestamptz(occurred_at_ms * 1000)) AS t FROM facts)""")
+_add("client_order", lambda s, d: dashboard.client_ordered(dashboard.grouped(ledger.facts(s, d), _MODELS, UTC), "models", "sessions").limit(5), f"{ledger.FACTS_SQL}, grouped AS ({_sql_rows(_MODELS, UTC)}) SELECT * FROM grouped ORDER BY sessions DESC, total DESC, name LIMIT 5")
+_add("visible_total", lambda s, d: dashboard.visible_total(dashboard.page(ledger.facts(s, d), _MODELS, UTC)), f"{ledger.FACTS_SQL}, grouped AS ({_sql_rows(_MODELS, UTC)}) SELECT CAST(sum(total) AS BIGINT) AS total FROM (SELECT total FROM grouped ORDER BY total DESC, key LIMIT {_MODELS.page_size})")
+_add("merged_lists", lambda s, d: ledger.facts(s, d).groupBy("harness").agg(F.collect_set("provider").alias("a"), F.collect_set("model").alias("b")).select("harness", F.array_join(text.merged(F.col("a"), F.col("b")), ",").alias("names")), ledger.FACTS_SQL + " SELECT harness, string_agg(n, ',' ORDER BY n) AS names FROM (SELECT harness, provider AS n FROM facts UNION SELECT harness, model FROM facts) GROUP BY harness")
+_add("filter_options", lambda s, d: relational.filter_options(dashboard.facet(ledger.facts(s, d), _FACET_QUERY, UTC, "models"), ["model-1", "Gone-1", ""], "", "O"), ledger.FACTS_SQL + f", o AS (SELECT DISTINCT model AS key, model AS name FROM {_sql_where(replace(_FACET_QUERY, selection=replace(_FACET_QUERY.selection, models=())), UTC)}) SELECT * FROM o WHERE contains(lower(name), 'o') UNION ALL SELECT * FROM (VALUES ('Gone-1', 'Gone-1'), ('', 'unknown')) v(key, name) WHERE key NOT IN (SELECT key FROM o)")
+_add("unresolved_records", lambda s, d: relational.unresolved(native.projection(s, d).outcomes), f"{native.SQL} SELECT count(*) AS unresolved FROM native WHERE code = 'unusable'")
+
+
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scopes = _scopes(spark, sf_dir).withColumn("attempts", F.col("revision") % 9)
+    return relational.failed(scopes, scopes.where("revision % 2 = 0"), "broken_again", 1000)
+
+
+_add("failed_scopes", _failures, _SCOPES_SQL + """, s AS (SELECT *, revision % 9 AS attempts, revision % 2 = 0 AS hit FROM scopes)
+SELECT scope, revision, processed_revision, generation, CASE WHEN hit THEN 'broken_again' ELSE error END AS error, CASE WHEN hit THEN 1000 + 1000 * CAST(2 ** least(attempts, 6) AS BIGINT) ELSE retry_at_ms END AS retry_at_ms, attempts + CASE WHEN hit THEN 1 ELSE 0 END AS attempts FROM s""")
 _add("options_with_selected", lambda s, d: relational.options_with_selected(dashboard.facet(ledger.facts(s, d), _FACET_QUERY, UTC, "models"), ["model-1", "gone", ""]), ledger.FACTS_SQL + f", o AS (SELECT DISTINCT model AS key, model AS name FROM {_sql_where(replace(_FACET_QUERY, selection=replace(_FACET_QUERY.selection, models=())), UTC)}) SELECT * FROM o UNION ALL SELECT * FROM (VALUES ('gone', 'gone'), ('', 'unknown')) v(key, name) WHERE key NOT IN (SELECT key FROM o)")
 
 

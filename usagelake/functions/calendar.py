@@ -31,6 +31,12 @@ def bucket(ms: str | Column, zone: str, unit: str) -> Column:
     return F.date_format(F.date_trunc(unit, local), UNITS[unit])
 
 
+def server_date(ms: str | Column, zone: str, time: bool = False) -> Column:
+    """Jan 1, 2026 in the zone, with the time Jan 1, 2026, 00:30."""
+    local = F.from_utc_timestamp(F.timestamp_millis(F.col(ms) if isinstance(ms, str) else ms), spark_zone(zone))
+    return F.date_format(local, "MMM d, yyyy, HH:mm" if time else "MMM d, yyyy")
+
+
 def start_of_day(day: date, zone: str) -> int:
     """Unix milliseconds of local midnight."""
     return round(datetime(day.year, day.month, day.day, tzinfo=python_zone(zone)).timestamp() * 1000)

@@ -88,3 +88,19 @@ def chart_label(c: Column) -> Column:
     kept = F.regexp_extract(c, r"^(?:[\x{0}-\x{FFFF}]|[\x{10000}-\x{10FFFF}]){0,15}", 0)
     short = F.aggregate(F.sequence(F.lit(1), F.lit(8)), kept, lambda acc, _: F.when(units(acc) > 15, F.substring(acc, 1, F.length(acc) - 1)).otherwise(acc))
     return F.when(units(c) > 17, F.concat(short, F.lit("…"))).otherwise(c)
+
+
+def plain_count(n: Column) -> Column:
+    """A terminal's tokens: nothing for 0, whole thousands (K) and millions (M), rounded towards 0."""
+    whole = lambda by, unit: F.concat((F.signum(n) * F.floor(F.abs(n) / by)).cast("bigint").cast("string"), F.lit(unit))
+    return F.when(n == 0, "").when(F.abs(n) < 1000, n.cast("string")).when(F.abs(n) < 1_000_000, whole(1000, "K")).otherwise(whole(1_000_000, "M"))
+
+
+def plain_context(n: Column) -> Column:
+    """A terminal's context load: as plain_count, but thousands (k) are rounded up, without sign."""
+    return F.when((n == 0) | (F.abs(n) < 1000) | (F.abs(n) >= 1_000_000), plain_count(n)).otherwise(F.concat(F.ceil(F.abs(n) / 1000).cast("string"), F.lit("k")))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two lists as one, sorted, each value once."""
+    return F.array_sort(F.array_union(a, b))

@@ -158,6 +158,26 @@ def ordered(rows: DataFrame, sort: str, direction: str) -> DataFrame:
     return rows.orderBy(column.asc() if direction == "asc" else column.desc(), F.col("key").asc())
 
 
+def client_ordered(rows: DataFrame, tab: str, sort: str) -> DataFrame:
+    """A terminal's order of rows that it has: numbers and dates falling, texts rising; ties by falling total, then by name."""
+    name = F.col("name")
+    if sort == "name":
+        return rows.orderBy(name)
+    column = SORT_COLUMNS.get(sort, sort)
+    if column in ("harness", "provider", "model"):
+        first = F.col(column).asc()
+    elif column == "date" and tab == "tokens":
+        first = F.col("key").desc()  # the bucket
+    else:
+        first = F.col(column if column in ("date", *NUMBERS) else "total").desc()
+    return rows.orderBy(first, F.col("total").desc(), name)
+
+
+def visible_total(rows: DataFrame) -> DataFrame:
+    """One row: all tokens of the rows shown."""
+    return rows.agg(_sum("total").alias("total"))
+
+
 def page(facts: DataFrame, q: Query, clock: Clock, n_groups: int | None = None) -> DataFrame:
     """The query's page. n_groups: if known, a page beyond the last one is the last one."""
     number = q.page if n_groups is None else min(q.page, max(1, -(-n_groups // q.page_size)))

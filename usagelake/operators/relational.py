@@ -64,6 +64,19 @@ def eligible(scopes: DataFrame, target_generation: int, now_ms: int, after: tupl
     return keyset_page(scopes.where(work), ("revision", "scope"), after, size)
 
 
+def unresolved(outcomes: DataFrame, generation: int | None = None) -> DataFrame:
+    """One row: records of which nothing could be made. outcomes: of one dataset; with generation, of that one only."""
+    rows = outcomes if generation is None else outcomes.where(F.col("generation") == generation)
+    return rows.agg(F.count_if((F.col("disposition") == "ambiguous") & (F.col("code") == "unusable_usage")).alias("unresolved"))
+
+
+def failed(scopes: DataFrame, which: DataFrame, code: str, now_ms: int) -> DataFrame:
+    """scopes with the given ones' failure: its code, one more attempt, and the instant of the next one."""
+    hit = which.select("scope").distinct().withColumn("__hit", F.lit(True))
+    rows = scopes.join(hit, "scope", "left").withColumn("attempts", F.col("attempts") + F.coalesce(F.col("__hit").cast("int"), F.lit(0)))
+    return rows.withColumns({"error": F.when(F.col("__hit"), code).otherwise(F.col("error")), "retry_at_ms": F.when(F.col("__hit"), retry_at(F.col("attempts") - 1, now_ms)).otherwise(F.col("retry_at_ms"))}).select(*scopes.columns)
+
+
 def retry_at(attempts: Column, now_ms: int) -> Column:
     """The instant of the next attempt: 2 ^ attempts seconds later, 64 at most."""
     return F.lit(now_ms) + F.lit(1000) * F.pow(F.lit(2), F.least(attempts, F.lit(6))).cast("bigint")
@@ -78,3 +91,12 @@ def options_with_selected(options: DataFrame, selected: list[str]) -> DataFrame:
     """(key, name): the options and selected keys that are missing among them."""
     chosen = options.sparkSession.createDataFrame([(k,) for k in selected], "key string")
     return options.select("key", "name").unionByName(chosen.join(options, "key", "left_anti").select("key", F.when(F.col("key") == "", "unknown").otherwise(F.col("key")).alias("name")))
+
+
+def filter_options(options: DataFrame, selected: list[str], missing_name: str = "", search: str = "") -> DataFrame:
+    """(key, name) in the order of names as people sort them: options and selected keys that are missing among them, whose names
+    hold the searched text in any case. A missing key is named missing_name, or itself; unknown stays unknown."""
+    chosen = options.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(selected)], "key string").join(options, "key", "left_anti")
+    name = F.when(F.col("key").isin("", "unknown"), "unknown").otherwise(F.lit(missing_name) if missing_name else F.col("key"))
+    rows = options.select("key", "name").unionByName(chosen.select("key", name.alias("name")))
+    return rows.where(F.contains(F.lower("name"), F.lit(search.lower()))).orderBy(F.collate("name", "UNICODE"), "key")

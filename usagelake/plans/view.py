@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import fields, replace
+from dataclasses import dataclass, fields, replace
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from urllib.parse import parse_qs, urlencode
 
-from .query import SORTS, InvalidQuery, Query, Selection
+from .query import SORTS, InvalidQuery, Query, Selection, period_days
 
 #: What each tab shows.
 COLUMNS = {
@@ -136,3 +136,112 @@ def chart_kind(tab: str) -> str:
 def lines(text: str) -> list[str]:
     """Parts of a joined list, each once."""
     return list(dict.fromkeys(p.strip() for p in text.split(",") if p.strip()))
+
+
+#: What filters and periods are called.
+DIMENSIONS = (("harnesses", "Harness"), ("providers", "Provider"), ("models", "Model"), ("sessions", "Session"))
+LOCATIONS = (("repositories", "Repository"), ("directories", "Directory"))
+PERIOD_LABELS = {"today": "Daily", "week": "Weekly", "month": "Monthly", "year": "Yearly", "all": "All time"}
+
+
+def custom_dates(q: Query) -> bool:
+    return bool(q.selection.day_from or q.selection.day_to)
+
+
+def active_filters(q: Query) -> list[str]:
+    """Labels of the filters that are set, in the toolbar's order."""
+    out = [name for key, name in DIMENSIONS if getattr(q.selection, key)]
+    if q.tab == "repo":
+        out += [name for key, name in LOCATIONS if getattr(q, key)]
+    return out + ["Dates"] * custom_dates(q)
+
+
+def missing_name(key: str) -> str:
+    """What a selected location that is no longer offered is called."""
+    return f"{dict(LOCATIONS)[key]} (unavailable)"
+
+
+def date_label(q: Query) -> str:
+    s = q.selection
+    if custom_dates(q):
+        return f"{s.day_from or 'Beginning'} → {s.day_to or 'Now'}"
+    return PERIOD_LABELS.get(s.period, "Daily")
+
+
+def custom_range_applies(first: str, last: str) -> bool:
+    """Whether dates that were typed in can be taken: one at least, and not the wrong way round."""
+    return bool(first or last) and not (first and last and first > last)
+
+
+def short_date(d: date) -> str:
+    return f"{d:%b} {d.day}, {d.year}"
+
+
+def range_label(period: str, first: date, last: date) -> str:
+    """2024; January 2024; Jan 1 – 7, 2024 with shared parts once; Jan 1, 2024."""
+    if period == "year":
+        return str(first.year)
+    if period == "month":
+        return f"{first:%B} {first.year}"
+    if period != "week" or first == last:
+        return short_date(first)
+    begin = short_date(first) if first.year != last.year else f"{first:%b} {first.day}"
+    end = short_date(last) if (first.year, first.month) != (last.year, last.month) else f"{last.day}, {last.year}"
+    return f"{begin} – {end}"
+
+
+@dataclass(frozen=True)
+class Navigation:
+    """The period shown, and whether there is a later one to go to."""
+
+    first: date
+    last: date
+    label: str
+    at_current: bool
+
+
+def navigation(q: Query, today: date, first: date | None = None) -> Navigation | None:
+    """The period shown, that of `first` (unset: of the query's own period); None for custom dates and all time."""
+    s = q.selection
+    if custom_dates(q) or s.period == "all":
+        return None
+    own = period_days(s.period or "month", today)
+    current = period_days("today" if s.period == "yesterday" else s.period or "month", today)
+    begin = first or own[0]
+    begin, last = shifted(s.period or "month", begin, 0)
+    return Navigation(begin, last, range_label(s.period or "month", begin, last), begin >= current[0])
+
+
+#: Stages of collecting, and what they are called.
+STAGES = {"waiting": "Waiting to collect", "capturing": "Collecting usage", "submitting": "Submitting usage", "accepted": "Usage accepted", "failed": "Collection failed", "interrupted": "Collection interrupted"}
+ACTIVE = ("waiting", "capturing", "submitting")
+
+
+@dataclass(frozen=True)
+class Sync:
+    collection_unknown: bool = False
+    collection_failed: bool = False
+    stage: str = ""
+    pending: bool = False
+    backoff: bool = False
+    loading: bool = False
+
+
+def sync_state(attempts: list[dict], pending: int, failed: int, retry_at_ms: int, now_ms: int, generation: int, target: int, progress_failed: bool = False, checked: str = "") -> Sync:
+    """attempts: dicts of id, stage and updated_ms. An accepted attempt counts as collecting until it has been `checked`."""
+    active = next((a for a in attempts if a["stage"] in ACTIVE), None)
+    latest = max(enumerate(attempts), key=lambda x: (x[1]["updated_ms"], x[0]), default=(0, None))[1]
+    accepted = f"{latest['id']}/{latest['updated_ms']}" if latest and latest["stage"] == "accepted" else ""
+    collecting = not progress_failed and (active is not None or (accepted != "" and accepted != checked))
+    processing = pending > 0 or generation != target
+    return Sync(progress_failed, bool(latest) and latest["stage"] in ("failed", "interrupted"), active["stage"] if active and not progress_failed else "", processing, failed > 0 and retry_at_ms > now_ms, collecting or processing)
+
+
+def status(sync: Sync, connection_failed: bool = False, refresh_failed: bool = False, refreshing: bool = False, usage_failed: bool = False, facets_failed: bool = False, fetching: bool = False, loaded: bool = True, facets_pending: bool = False) -> tuple[str, str]:
+    """(label, tone) of the one thing that matters most now."""
+    ranked = [
+        (connection_failed, "Connection unavailable", "attention"), (refresh_failed, "Refresh failed", "attention"), (refreshing, "Refreshing usage…", "loading"), (usage_failed, "Usage couldn’t load", "attention"),
+        (facets_failed, "Filters couldn’t load", "attention"), (sync.collection_unknown, "Collection status unavailable", "attention"), (sync.collection_failed, "Collection needs attention", "attention"), (bool(sync.stage), STAGES.get(sync.stage, ""), "loading"),
+        (sync.pending and sync.backoff, "Processing retry pending", "attention"), (sync.pending, "Processing usage", "loading"), (sync.loading, "Loading…", "loading"), (fetching and loaded, "Refreshing usage…", "loading"), (fetching, "Loading…", "loading"), (facets_pending, "Loading filters…", "loading"),
+    ]
+    return next(((label, tone) for holds, label, tone in ranked if holds), ("Ready", "ready"))
