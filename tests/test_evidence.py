@@ -21,7 +21,7 @@ def _claude(id_, time, session="s-claude", **usage):
 
 def _codex(session, turn, n, parent=None):
     count = lambda k: {"input_tokens": k, "cached_input_tokens": 0, "output_tokens": k, "reasoning_output_tokens": 0, "total_tokens": 2 * k}
-    meta = {"type": "session_meta", "payload": {"id": session, "model_provider": "openai"} | ({"forked_from_id": parent} if parent else {})}
+    meta = {"type": "session_meta", "payload": {"id": session, "model_provider": "openai", "cwd": "/srv/x", "git": {"repository_url": "git@Host:a/b.git"}} | ({"forked_from_id": parent} if parent else {})}
     out = [meta]
     at = 0
     for t, k in zip(turn, n, strict=True):
@@ -38,7 +38,7 @@ def _lines(path, rows):
 @pytest.fixture(scope="module")
 def evidence(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("native")
-    _lines(root / "pi/project/a.jsonl", [{"type": "session", "id": "s-pi", "version": 1}, _pi("m1", 24, input=10, output=7, reasoning=2, cacheRead=3, cacheWrite=4), _pi("m1", 24, input=10, output=7, reasoning=2, cacheRead=3, cacheWrite=4), _pi("m2", 17, input=11, output=6), _pi("m2", 18, input=12, output=6), {"type": "message", "message": {"role": "user"}}])
+    _lines(root / "pi/project/a.jsonl", [{"type": "session", "id": "s-pi", "version": 1, "cwd": "/home/me/work//pi"}, _pi("m1", 24, input=10, output=7, reasoning=2, cacheRead=3, cacheWrite=4), _pi("m1", 24, input=10, output=7, reasoning=2, cacheRead=3, cacheWrite=4), _pi("m2", 17, input=11, output=6), _pi("m2", 18, input=12, output=6), {"type": "message", "message": {"role": "user"}}])
     _lines(root / "claude/projects/p/b.jsonl", [_claude("c1", "2026-01-02T00:00:01Z", input_tokens=10, output_tokens=5), _claude("c1", "2026-01-02T00:00:02Z", input_tokens=10, output_tokens=15)])
     _lines(root / "codex/sessions/2026/rollout-a.jsonl", _codex("parent", ["t1", "t1"], [10, 20]))
     _lines(root / "codex/sessions/2026/rollout-b.jsonl", _codex("child", ["t1", "t1", "t2"], [10, 20, 7], "parent"))
@@ -50,7 +50,13 @@ def evidence(spark, tmp_path_factory):
     tokens = lambda k: {"input": 100 + k, "output": 50 + k, "reasoning": 10 + k, "cache": {"read": 20 + k, "write": 5 + k}}
     db.execute("INSERT INTO message VALUES ('o1', 's-open', 1767312000000, 1, ?)", [json.dumps({"role": "assistant", "providerID": "p", "modelID": "m", "tokens": tokens(0)})])
     db.execute("INSERT INTO session_message VALUES ('o1', 's-open', 'assistant', 1767312000000, 1, ?)", [json.dumps({"model": {"providerID": "p", "id": "m"}, "tokens": tokens(1)})])
+    db.execute("CREATE TABLE session (id TEXT, directory TEXT, project_id TEXT)")
+    db.execute("CREATE TABLE project (id TEXT, vcs TEXT)")
+    db.execute("INSERT INTO session VALUES ('s-open', '/home/me/open', 'p1')")
+    db.execute("INSERT INTO project VALUES ('p1', 'git')")
+    db.execute("PRAGMA journal_mode = WAL")
     db.commit()
+    db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
     db.close()
     files = jsonl.all_evidence(spark, {"pi": str(root / "pi"), "claude-code": str(root / "claude"), "codex": str(root / "codex")})
     return files.unionByName(sqlite.evidence(spark, str(root / "open"))).cache()
@@ -66,6 +72,11 @@ def test_facts(evidence):
     }
 
 
+def test_locations(evidence):
+    found = {(r["harness"], r["directory_name"], r["repository_name"], r["repository_source"]) for r in process(evidence).facts.collect()}
+    assert found == {("pi", "pi", "", ""), ("claude-code", "", "", ""), ("codex", "x", "b", "harness"), ("opencode", "open", "open", "opencode-project")}
+
+
 def test_estimates_and_outcomes(evidence):
     p = process(evidence)
     assert {(r["harness"], r["reason_code"]) for r in p.estimates.collect()} == {("pi", "conflicting_native_identity"), ("codex", "missing_parent")}

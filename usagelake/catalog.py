@@ -239,7 +239,7 @@ def _location_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("location_join", _location_join, """WITH c AS (SELECT c_custkey % 5 AS kind, c_nationkey AS n, c_custkey % 7 AS u, n_regionkey <> 2 AS tracked FROM customer JOIN nation ON n_nationkey = c_nationkey),
-p AS (SELECT *, CASE kind WHEN 0 THEN '/home/u' || u || '/src/n' || n WHEN 1 THEN 'C:/Users/u3/n' || n WHEN 3 THEN '/srv/n' || n END AS path, CASE kind WHEN 0 THEN '~/src/n' || n WHEN 1 THEN '~/n' || n WHEN 3 THEN '/srv/n' || n ELSE '' END AS directory_name FROM c)
+p AS (SELECT *, CASE kind WHEN 0 THEN '/home/u' || u || '/src/n' || n WHEN 1 THEN 'C:/Users/u3/n' || n WHEN 3 THEN '/srv/n' || n END AS path, CASE WHEN kind IN (0, 1, 3) THEN 'n' || n ELSE '' END AS directory_name FROM c)
 SELECT coalesce(sha256('directory:' || path), '') AS directory_key, directory_name, CASE WHEN tracked THEN sha256('opencode-project:p' || n) ELSE '' END AS repository_key,
 CASE WHEN NOT tracked THEN '' WHEN path IS NULL THEN 'unknown' ELSE 'n' || n END AS repository_name, CASE WHEN tracked THEN 'opencode-project' ELSE '' END AS repository_source, count(*) AS sessions FROM p GROUP BY ALL""")
 

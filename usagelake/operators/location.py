@@ -18,7 +18,7 @@ def _hash(kind: str, c: Column) -> Column:
 
 
 def located(rows: DataFrame, directory: str, remote: str | None = None, git_remote: str | None = None, git_common_dir: str | None = None, project: str | None = None, home: str = "") -> DataFrame:
-    """rows with directory_key, directory_name, repository_key, repository_name, repository_source (empty: unknown) and
+    """rows with directory_key, directory_name (the last part of the path, ~ for a home), repository_key, repository_name, repository_source (empty: unknown) and
     location_conflict (the record and git name different remotes). The other arguments name columns that rows may have."""
     given = lambda name: F.col(name) if name else F.lit(None).cast("string")
     path = L.directory(given(directory))
@@ -32,16 +32,17 @@ def located(rows: DataFrame, directory: str, remote: str | None = None, git_remo
     ]
     pick = lambda at: F.coalesce(*(F.when(c[0].isNotNull(), F.lit(c[1]) if at == 1 else c[at]) for c in choices), F.lit(""))
     return rows.withColumns({
-        "directory_key": F.coalesce(_hash("directory", path), F.lit("")), "directory_name": F.coalesce(L.home_relative(path, home), F.lit("")),
+        "directory_key": F.coalesce(_hash("directory", path), F.lit("")), "directory_name": F.coalesce(name(L.home_relative(path, home)), F.lit("")),
         "repository_key": pick(2), "repository_name": pick(3), "repository_source": pick(1), "location_conflict": F.coalesce(recorded != found, F.lit(False)),
     })
 
 
 def session_locations(rows: DataFrame, sessions: DataFrame, projects: DataFrame, session: str = "session_native_id", home: str = "") -> DataFrame:
-    """rows with the locations of their sessions. sessions: (id, directory, project_id); projects: (id, vcs), of which only those
-    under git count."""
-    tracked = projects.where("vcs = 'git'").select(F.col("id").alias("project_id"), F.col("id").alias("__project"))
-    places = located(sessions.join(tracked, "project_id", "left"), "directory", project="__project", home=home)
+    """rows with the locations of their sessions. sessions: (id, directory, project_id and, where that isn't what identifies the
+    project, project); projects: (id, vcs), of which only those under git count."""
+    tracked = projects.where("vcs = 'git'").select(F.col("id").alias("project_id"), F.lit(True).alias("__tracked"))
+    own = F.when(F.col("__tracked"), F.col("project" if "project" in sessions.columns else "project_id"))
+    places = located(sessions.join(tracked, "project_id", "left").withColumn("__project", own), "directory", project="__project", home=home)
     columns = ("directory_key", "directory_name", "repository_key", "repository_name", "repository_source")
     joined = rows.drop(*columns).join(places.select(F.col("id").alias(session), *columns), session, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.location import located
 from .sanitize import context_kind, is_usage, sanitize
 
 MOST_LINE_BYTES = 16 << 20
@@ -67,21 +68,27 @@ def source_id(harness: str, root: str, path: Column) -> Column:
     return F.sha2(F.to_json(F.array(F.lit(harness), below)), 256)
 
 
-def evidence(spark: SparkSession, harness: str, root: str) -> DataFrame:
-    """Usage and context records with the latest context of each kind before them."""
+def evidence(spark: SparkSession, harness: str, root: str, home: str = "") -> DataFrame:
+    """Usage and context records with the latest context of each kind before them, and the location of the latest record up to
+    them that names a directory. The directory itself goes no further."""
     raw = lines(spark, harness, root)
     fit = raw.join(oversized(raw), "path", "left_anti").where(F.trim("value") != "")
     clean = sanitize(fit, harness).where(F.col("data").isNotNull())
     h = F.lit(harness)
+    at = lambda p: F.nullif(F.get_json_object("value", f"$.{p}"), F.lit(""))
+    inner = "payload." if harness == "codex" else ""
+    remote = F.coalesce(at("payload.git.repository_url"), at("payload.git.origin_url")) if harness == "codex" else F.lit(None).cast("string")
     rows = clean.select(
-        h.alias("harness"), F.lit("jsonl").alias("format"), source_id(harness, root, F.col("path")).alias("source_id"), F.lit("0").alias("lineage"), "ordinal", "data", "diagnostics",
+        F.when(at(f"{inner}cwd").isNotNull(), F.struct(at(f"{inner}cwd").alias("directory"), remote.alias("remote"))).alias("place"), h.alias("harness"), F.lit("jsonl").alias("format"), source_id(harness, root, F.col("path")).alias("source_id"), F.lit("0").alias("lineage"), "ordinal", "data", "diagnostics",
         context_kind(h, F.col("data")).alias("kind"), is_usage(h, F.lit("jsonl"), F.col("data")).alias("is_usage"),
     ).where("is_usage or kind is not null")
     before = Window.partitionBy("source_id", "lineage").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     kinds = {"pi": ["session"], "codex": ["session_meta", "turn_context", "task_started"]}.get(harness, [])
     last = [F.last(F.when(F.col("kind") == k, F.struct("ordinal", "data", "diagnostics")), ignorenulls=True).over(before) for k in kinds]
     context = F.array_sort(F.array_compact(F.array(*last))) if kinds else F.array().cast("array<struct<ordinal:bigint,data:string,diagnostics:array<string>>>")
-    return rows.select("harness", "format", "source_id", "lineage", "ordinal", "data", context.alias("context"), "diagnostics", "is_usage")
+    place = F.last("place", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.select("harness", "format", "source_id", "lineage", "ordinal", "data", context.alias("context"), "diagnostics", "is_usage", place["directory"].alias("__directory"), place["remote"].alias("__remote"))
+    return located(out, "__directory", "__remote", home=home).drop("__directory", "__remote", "location_conflict")
 
 
 def all_evidence(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
