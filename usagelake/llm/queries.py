@@ -17,9 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    base_failed = (F.col("__f.n_words") < 50) | (100 * F.col("__f.n_repeat_words") > 50 * F.col("__f.n_words"))
-    counts = [F.col(f"__f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return quality.judge(docs).select("doc_id", *counts, base_failed.alias("base_failed"), (~base_failed & F.col("__rejected_by").isNull()).alias("kept"))
+    n, repeated = F.col("quality.n_words"), F.col("quality.n_repeat_words")
+    base_failed = (n < 50) | (100 * repeated > 50 * n)
+    counts = [F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality.judge(docs).select("doc_id", *counts, base_failed.alias("base_failed"), (~base_failed & F.col("quality.rejected_by").isNull()).alias("kept"))
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
