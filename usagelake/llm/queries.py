@@ -65,11 +65,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
-    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), as_col="found")
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in base]
-    digest = F.sha2(pii.joined(F.filter("__spans", lambda s: s["kind"].isin(base))).cast("binary"), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("__spans")).alias("spans"))
+    digest = F.sha2(pii.joined(F.filter("found", lambda s: s["kind"].isin(base))).cast("binary"), 256)
+    score = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"), score.alias("score"))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
