@@ -13,8 +13,8 @@ A block is BLOCK ids. Its width is that which the given percentile of them fits
 whose low bits stand in the body all the same. Files have names of their own for each attempt; only those of attempts
 that Spark committed are in the manifest, which is written to the shared folder before anything reads it.
 
-Defined cases: a null text is empty and has the end id only; null ids come first; repeated rows are written one by one;
-an empty table gives no file; other columns play no part.
+Defined cases: a null text is empty and has the end id only; ids that aren't whole numbers are refused, null ids come
+first; repeated rows are written one by one; an empty table gives no file; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import cut, new_folder
-from .tokens import encoder, slices
+from .tokens import binaries, encoded, encoder
 
 MAGIC, BLOCK, PERCENTILE, _AT_ONCE = b"PFR1", 128, 0.9, 4096
 
@@ -82,16 +83,16 @@ def unpack_blocks(low: np.ndarray, width: np.ndarray, n_patched: np.ndarray, sta
     return (rows + low[:, None]).ravel()[:n]
 
 
-def to_bytes(keys: list[int | None], counts: list[int], ids: np.ndarray, start: int) -> bytes:
+def to_bytes(keys: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, start: int) -> bytes:
     low, width, n_patched, starts, place, value, body = pack_blocks(ids)
     head = np.array([len(keys), len(ids), len(low), start, len(place)], "<i8")
-    known = np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], "u1"), np.array(counts, "<i8")
+    known = keys.astype("<i8"), null.astype("u1"), counts.astype("<i8")
     blocks = low.astype("<u4"), width, n_patched, starts.astype("<i8"), place, value.astype("<u4")
     return b"".join([MAGIC, *(x.tobytes() for x in (head, *known, *blocks)), body])
 
 
-def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """(document ids, their numbers of ids, all ids, start in the task's range)."""
+def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document ids, which of them are null, their numbers of ids, all ids, start in the task's range)."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
     at = 4
@@ -106,7 +107,7 @@ def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, i
     keys, null, counts = take("<i8", docs), take("u1", docs), take("<i8", docs)
     low, width, n_patched, starts, place, value = take("<u4", blocks), take("u1", blocks), take("<u2", blocks), take("<i8", blocks), take("<u2", patched), take("<u4", patched)
     ids = unpack_blocks(low, width, n_patched, starts, place, value, np.frombuffer(data, np.uint8, offset=at), n)
-    return [None if gone else k for k, gone in zip(keys.tolist(), null, strict=True)], counts, ids, start
+    return keys, null.astype(bool), counts, ids, start
 
 
 def _store(uri: str):
@@ -120,36 +121,35 @@ def write(docs: DataFrame, tokenizer: str, cut_by: str = "words", id_col: str =
     folder, end = new_folder(docs.sparkSession, "tokens"), end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, attempt = encoder(tokenizer, cut_by).encode, TaskContext.get().partitionId(), uuid.uuid4().hex
+        own, part, attempt = encoder(tokenizer, cut_by), TaskContext.get().partitionId(), uuid.uuid4().hex
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
-        keys, counts, held, size, start, done = [], [], [], 0, 0, []
+        held, size, start, done = [], 0, 0, []
 
         def flush() -> None:
-            nonlocal keys, counts, held, size, start
+            nonlocal held, size, start
             name = f"{path}/part-{part:06d}-{len(done):05d}-{attempt}.pfr"
             with store.open_output_stream(name) as f:
-                f.write(to_bytes(keys, counts, np.frombuffer(b"".join(held), "<u4"), start))
+                f.write(to_bytes(*(np.concatenate(c) for c in zip(*held, strict=True)), start))
             done.append((name, size))
-            start, keys, counts, held, size = start + size, [], [], [], 0
+            start, held, size = start + size, [], 0
 
         for batch in batches:
-            for ids, texts in slices(batch):
-                for key, encoded in zip(ids, encode(texts), strict=True):
-                    keys.append(key)
-                    held.append(encoded + end)
-                    counts.append(len(held[-1]) // 4)
-                    size += counts[-1]
-                    if size >= shard_ids:
-                        flush()
-        if keys:
+            for keys, ids, counts in encoded(batch, own, end_id):
+                held.append((keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), counts, ids))
+                size += len(ids)
+                if size >= shard_ids:
+                    flush()
+        if held:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["part", "path", "n_ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if (kind := dict(rows.dtypes)["id"]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is {kind}; the files hold whole numbers")
+    rows, tie = rows.withColumn("id", F.col("id").cast("long")), F.xxhash64("text")
     dealt = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
-    return cut(dealt.mapInArrow(run, "part int, path string, n_ids long"), "token-manifest")
+    return cut(dealt.mapInArrow(tidy(run), "part int, path string, n_ids long"), "token-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -165,13 +165,13 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(path) as f:
-                    keys, counts, ids, start = from_bytes(f.read())
+                    keys, null, counts, ids, start = from_bytes(f.read())
                 ends = np.cumsum(counts)
-                data = ids.astype("<u4").tobytes()
                 for i in range(0, len(keys), 1000):
-                    span = range(i, min(i + 1000, len(keys)))
-                    own = [data[4 * int(ends[j] - counts[j]) : 4 * int(ends[j])] for j in span]
-                    at = before[part] + start + ends[i : i + 1000] - counts[i : i + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 1000], pa.int64()), pa.array(at, pa.int64()), pa.array(counts[i : i + 1000], pa.int64()), pa.array(own, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                    n = counts[i : i + 1000]
+                    last = ends[i : i + 1000]
+                    own = binaries(ids[last[0] - n[0] : last[-1]], n)
+                    at = before[part] + start + last - n
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 1000], pa.int64(), mask=null[i : i + 1000]), pa.array(at, pa.int64()), pa.array(n, pa.int64()), own], ["id", "start", "n_tokens", "ids"])
 
-    return manifest.select("part", "path").repartition("path").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    return manifest.select("part", "path").repartition("path").mapInArrow(tidy(run), "id long, start long, n_tokens long, ids binary")

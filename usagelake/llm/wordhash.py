@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """hashes, and begin and end (bytes in the buffer) of all words; first[i]:first[i + 1] are those of text i."""
+    """hashes, and begin and end (bytes in the buffer) of all words; first[i]:first[i + 1] are those of text i, which begins at starts[i]."""
 
     def __init__(self, texts: list[bytes], lower: bool = False, seed: int = 0):
         self.buffer = b"\n".join([*texts, b""])
@@ -48,10 +48,15 @@ class Words:
         up, down = _power_tables(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((_LOWER[raw] if lower else raw).astype(np.uint64) * up[: len(raw)], out=sums[1:])
-        value = (sums[self.end] - sums[self.begin]) * down[self.begin]
-        self.hashes = mix(value + (self.end - self.begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(seed))
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        self.first = np.searchsorted(self.begin, starts)
+        self._sums, self._down, self._seed = sums, down, np.uint64(seed)
+        self.hashes = self.hash_of(self.begin, self.end)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        self.first = np.searchsorted(self.begin, self.starts)
+
+    def hash_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of the buffer."""
+        value = (self._sums[end] - self._sums[begin]) * self._down[begin]
+        return mix(value + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + self._seed)
 
 
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
