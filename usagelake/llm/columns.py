@@ -23,6 +23,11 @@ def whole_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All of a row's columns as one value; select("name.*") gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 

@@ -23,7 +23,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .columns import WORD, whole_text
+from .columns import WORD, whole_row, whole_text
 from .store import cut
 
 #: A range of hashes is what has these high bits.
@@ -266,6 +266,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     belongs to (unset: the one in source_col)."""
     members = F.array(source_col) if members is None else members
     mix = plan_mix(sized(docs, members, id_col, text_col, seed), copies)
-    size = sizes_of(F.col(text_col))
-    taken = with_copies(docs, mix, _key(members), order_hash(F.col(id_col), seed), size).where((F.col("__copies") > 0) & (size > 0))
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__n")).drop("__n")
+    # The row travels as one value, so that none of its columns can clash with those of the plan.
+    rows = docs.select(whole_row(docs).alias("__row"), _key(members).alias("__key"), order_hash(F.col(id_col), seed).alias("__hash"), sizes_of(F.col(text_col)).alias("__size"))
+    taken = with_copies(rows, mix, F.col("__key"), F.col("__hash"), F.col("__size")).where("__copies > 0 AND __size > 0")
+    return taken.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__n")).select("__row.*")
