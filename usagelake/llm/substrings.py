@@ -9,8 +9,9 @@ least `window` words are removed. Whole words are compared, never hashes. A regi
 automaton, all its windows are repeated; where a task sees both, it says so at once and sends the region once without its
 places, so that a passage of very many documents costs a row for each task.
 
-The repeated anchors are sent to the tasks as a Bloom filter of at most `filter_bits` bits; what passes it wrongly is
-found to be alone in its shard. Documents are told apart by id and a hash of the text, and rows that agree in both are
+The repeated anchors are sent to the tasks as a Bloom filter of at most `filter_bits` bits (the driver gets as many, once);
+what passes it wrongly is found to be alone in its shard. Where that is less than BITS_AN_ANCHOR for each, the texts are
+gone through several times, each time with the filter of one share of the anchors, so that none ever fills. Documents are told apart by id and a hash of the text, and rows that agree in both are
 treated alike.
 
 Defined cases: a null or blank text has no words, an empty text and nothing removed; repeated rows lose all windows, as
@@ -20,16 +21,18 @@ each repeats the other; places that overlap count as two; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import cut
 from .wordhash import Words, bounded, mix, windows
 
-_PROBES = 4
+_PROBES, BITS_AN_ANCHOR = 4, 8
 
 
 class SuffixAutomaton:
@@ -136,29 +139,34 @@ def _repeated_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
                 anchors, n = np.unique(_regions(Words(texts[part]), window, k)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidy(run, whole=True), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return cut(counted.where("n > 1").select("anchor"), "substring-anchors")
 
 
-def _bloom(anchors: DataFrame, filter_bits: int) -> tuple[int, bytes]:
-    """The filter's size in bits and its bits. The driver gets a row for each of its 64-bit words at most."""
-    bits = min(filter_bits, 1 << max(16, (16 * anchors.count()).bit_length()))
+def _share(anchors: np.ndarray, shares: int) -> np.ndarray:
+    return (anchors >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
+
+
+def _bloom(anchors: DataFrame, count: int, filter_bits: int, share: int, shares: int) -> tuple[int, bytes]:
+    """The size in bits and the bits of the filter of one share of the anchors. The driver gets a row for each of its 64-bit words at most."""
+    bits = min(filter_bits, 1 << max(10, (2 * BITS_AN_ANCHOR * count // shares).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits)))
+            own = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate(_probes(own[_share(own, shares) == share], bits)))
             word, first = np.unique(at >> np.uint64(6), return_index=True)
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    table = anchors.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = anchors.mapInArrow(tidy(run, whole=True), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[table["word"].to_numpy()] = table["mask"].to_numpy()
     return bits, out.tobytes()
 
 
-def _shards(docs: DataFrame, window: int, k: int, bits: int, bloom: bytes, kind: str) -> DataFrame:
-    """Rows (anchor, content, id, text_hash, start, n): a region of n windows from word start; without content: its windows are
+def _shards(docs: DataFrame, window: int, k: int, bits: int, bloom: bytes, kind: str, share: int, shares: int) -> DataFrame:
+    """Of the share's anchors, rows (anchor, content, id, text_hash, start, n): a region of n windows from word start; without content: its windows are
     known to be repeated; without n: a region that this task has found repeated."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -171,7 +179,7 @@ def _shards(docs: DataFrame, window: int, k: int, bits: int, bloom: bytes, kind:
             for part in bounded(texts):
                 words = Words(texts[part])
                 anchors, owner, start, n = _regions(words, window, k)
-                hit = np.ones(len(anchors), bool)
+                hit = _share(anchors, shares) == share
                 for p in _probes(anchors, bits):
                     hit &= (has[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
                 begin, end = words.begin[start[hit]], words.end[start[hit] + n[hit] + window - 2]
@@ -190,7 +198,7 @@ def _shards(docs: DataFrame, window: int, k: int, bits: int, bloom: bytes, kind:
             fixed = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays([*fixed, batch.column(0).take(take), batch.column(1).take(take), *(pa.array([r[i] for r in rows], pa.int64()) for i in (3, 4))], ["anchor", "content", "id", "text_hash", "start", "n"])
 
-    return cut(docs.mapInArrow(run, f"anchor long, content binary, id {kind}, text_hash long, start long, n long"), "substring-regions")
+    return cut(docs.mapInArrow(tidy(run, whole=True), f"anchor long, content binary, id {kind}, text_hash long, start long, n long"), "substring-regions")
 
 
 def repeated_spans(contents: dict[bytes, int], window: int) -> dict[bytes, list[tuple[int, int]]]:
@@ -246,7 +254,7 @@ def _matched(regions: DataFrame, window: int, kind: str) -> DataFrame:
 
     names, types = ["id", "text_hash", "start", "end"], [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), *[pa.int64()] * 3]
     dealt = regions.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "content", "id", "text_hash", "start", "n").mapInArrow(run, f"id {kind}, text_hash long, start long, end long")
+    return dealt.select("anchor", "content", "id", "text_hash", "start", "n").mapInArrow(tidy(run, whole=True), f"id {kind}, text_hash long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 1 << 28) -> DataFrame:
@@ -254,8 +262,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k = max(1, window // 4)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    bits, bloom = _bloom(_repeated_anchors(rows, window, k), filter_bits)
-    found = _shards(rows, window, k, bits, bloom, kind)
+    anchors = _repeated_anchors(rows, window, k)
+    count = anchors.count()
+    shares = max(1, -(-BITS_AN_ANCHOR * count // filter_bits))
+    found = reduce(DataFrame.unionAll, [_shards(rows, window, k, *_bloom(anchors, count, filter_bits, i, shares), kind, i, shares) for i in range(shares)])
     matched = _matched(found.where(F.col("content").isNotNull()), window, kind)
     sure = found.where(F.col("content").isNull()).select("id", "text_hash", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
     spans = matched.unionAll(sure).groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -277,4 +287,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
 
-    return joined.mapInArrow(remove, f"id {kind}, n_words long, n_removed long, text string").withColumnsRenamed({"id": id_col, "text": text_col})
+    return joined.mapInArrow(tidy(remove, whole=True), f"id {kind}, n_words long, n_removed long, text string").withColumnsRenamed({"id": id_col, "text": text_col})
