@@ -112,36 +112,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _filtered(vectors: DataFrame, code: Code) -> DataFrame:
-    """(filter, rep, size, v, filters) for each vector and each of its filters."""
+    """(filter, rep, size, v, filters) for each vector and each of its filters; v as the table's own floats or doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple] = {}
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                column, groups = batch.column(2).to_pylist(), {}
-                for i, v in enumerate(column):
-                    groups.setdefault(len(v), []).append(i)
-                for d, index in groups.items():
-                    x = np.array([column[i] for i in index], np.float64)
+                lengths = batch.column(2).value_lengths().to_numpy()
+                for d in np.unique(lengths).tolist():
+                    index = np.flatnonzero(lengths == d)
+                    own = batch.column(2).take(pa.array(index)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                     if d not in made:
                         made[d] = code.directions(d)
-                    lists = decode(_unit(x), code, made[d])
+                    lists = decode(_unit(own.astype(np.float64)), code, made[d])
                     n = [len(names) for names in lists]
                     take = pa.array(np.repeat(index, n))
                     kept = [pa.array(np.concatenate(lists) * 4096 + d % 4096), batch.column(0).take(take), batch.column(1).take(take)]
-                    data = [pa.array([b[i] for i, k in enumerate(n) for _ in range(k)], pa.binary()) for b in ([v.tobytes() for v in x], [f.tobytes() for f in lists])]
+                    data = [pa.array([b[i] for i, k in enumerate(n) for _ in range(k)], pa.binary()) for b in ([v.tobytes() for v in own], [f.tobytes() for f in lists])]
                     yield pa.RecordBatch.from_arrays(kept + data, ["filter", "rep", "size", "v", "filters"])
 
     return vectors.select("rep", "size", "v").mapInArrow(run, "filter long, rep long, size long, v binary, filters binary")
 
 
-def _links(groups: DataFrame, threshold: float) -> DataFrame:
+def _links(groups: DataFrame, threshold: float, number: type) -> DataFrame:
     """groups: (filter, a, b, mine, rep, size, v, filters), chunk a against chunk b. Rows (rep, n): n more links of rep's
     vectors; rows (rep, other): an edge."""
 
     def compare(f: int, same: bool, rows: list[tuple]) -> tuple[list, list, list]:
         name, rep, size, mine = f // 4096, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-        x = _unit(np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1))
+        x = _unit(np.frombuffer(b"".join(r[2] for r in rows), number).reshape(len(rows), -1).astype(np.float64))
         near = x @ x.T >= threshold
         near &= np.tril(np.ones_like(near), -1) if same else (mine[:, None] > mine[None, :])
         i, j = np.nonzero(near)
@@ -191,7 +190,9 @@ def _links(groups: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, load: int = 128, misses: float = 0.002) -> DataFrame:
     """For each row: id, n_links, component_id (smallest id reachable by links) and kept (id = component_id)."""
-    rows = cut(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "vectors")
+    # Single-precision vectors travel as such, half the size; they are compared in double precision all the same.
+    single = dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<float>"
+    rows = cut(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")), "vectors")
     good = rows.where(usable("v"))
     distinct = cut(good.groupBy("v").agg(F.min("row").alias("rep"), F.count("*").alias("size")), "vector-classes")
     code = Code.for_(max(1, distinct.count()), threshold, load, misses)
@@ -203,7 +204,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     placed = filtered.join(counts.withColumn("chunks", chunks), "filter").withColumn("mine", mine)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("yours")
     groups = placed.select("filter", "rep", "size", "v", "filters", "mine", every).select("*", F.least("mine", "yours").alias("a"), F.greatest("mine", "yours").alias("b"))
-    found = cut(_links(groups, threshold), "vector-links")
+    found = cut(_links(groups, threshold, np.float32 if single else np.float64), "vector-links")
     edges = found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b"))
     links = found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("links"))
     roots = components(edges).select(F.col("node").alias("rep"), "root")
