@@ -41,3 +41,13 @@ def test_run(spark, tmp_path):
     ends = Counter(p["doc_id"] for p in pieces if p["start"] == 0)
     assert ends == +Counter(taken)
     assert len({p["sequence_id"] for p in pieces}) == len(pieces) and {p["offset"] for p in pieces} == {0}
+
+
+def test_stages_on_an_empty_table_and_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row string"
+    for rows in ([], [(None, None, None, None, None, "x"), (1, "", "en", None, 0, "x"), (1, "", "en", None, 0, "x")]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "pack" or out.columns == docs.columns
+            assert out.count() == {"quality": 0, "near_duplicates": len(rows), "personal_data": len(rows), "mix": 0, "pack": len(rows)}[name]
