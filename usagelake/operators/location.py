@@ -32,7 +32,7 @@ def located(rows: DataFrame, directory: str, remote: str | None = None, git_remo
     ]
     pick = lambda at: F.coalesce(*(F.when(c[0].isNotNull(), F.lit(c[1]) if at == 1 else c[at]) for c in choices), F.lit(""))
     return rows.withColumns({
-        "directory_key": F.coalesce(_hash("directory", path), F.lit("")), "directory_name": F.coalesce(name(L.home_relative(path, home)), F.lit("")),
+        "directory_key": F.coalesce(_hash("directory", path), F.lit("")), "directory_name": F.when(path.isNotNull(), name(L.home_relative(path, home))).otherwise(""),
         "repository_key": pick(2), "repository_name": pick(3), "repository_source": pick(1), "location_conflict": F.coalesce(recorded != found, F.lit(False)),
     })
 
