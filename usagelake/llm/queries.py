@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, pii, quality, sql, substrings, tokenfile, urls, vectors
+from . import alignment, jaccard, languages, licenses, mixing, packing, pii, quality, sql, substrings, tokenfile, urls, vectors, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,21 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing, op10_substrings)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    known = languages.learn(docs.where(~languages.held_out("doc_id")))
+    found = languages.identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", languages.held_out("doc_id").alias("held_out"), F.col("lang").alias("lang_pred"), "score", "accepted")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_quality, op2_vectors, op3_licenses, op4_mixing, op5_tokenfile, op6_urls, op7_jaccard, op8_pii, op9_packing, op10_substrings, op11_whitening, op12_language, op13_alignment)}
 ORACLE_SQL = sql.ORACLE_SQL

@@ -71,17 +71,31 @@ class Memo:
 
 
 class Encoder:
-    def __init__(self, path: str, cut: str, max_pieces: int = 1_000_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, cut: str, max_pieces: int = 1_000_000, plain: bool = False):
+        """plain: special tokens' strings in a text are ordinary text."""
         if cut not in ("words", "gaps"):
             raise ValueError(f"texts can be cut into words or gaps, not {cut!r}")
-        self._tokenizer, self._max, self._words = Tokenizer.from_file(path), max_pieces, cut == "words"
+        self._max, self._words, self._plain = max_pieces, cut == "words", plain
+        self._open(path)
         self._between = b" ~ " if self._words else b"\n"
         (self._between_id,) = self._ask([self._between.decode()])[0]
         self._begin_anew(max_pieces)
 
+    def _open(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = self._plain
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id of a byte-level vocabulary stands for."""
+        byte_of = _bytes_of_characters()
+        out = [b""] * self._tokenizer.get_vocab_size()
+        for piece, i in self._tokenizer.get_vocab().items():
+            out[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
+        return out
+
     def _begin_anew(self, most: int) -> None:
         self._memo = Memo(most)
         self._ids, self._n_ids = np.empty(1 << 16, np.uint32), 0
@@ -173,9 +187,12 @@ class Encoder:
         so_far = np.concatenate([[0], ends])[np.searchsorted(begin, w.starts)]
         return ids, np.diff(so_far)
 
+    def _needs_whole(self, text: bytes) -> bool:
+        return not self._plain and _SPECIAL in text or not text.isascii() and any(x in text for x in _LEADS) and bool(_TOUCHING.search(text))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts in a row as unsigned 32-bit integers, how many each text has)."""
-        whole = [i for i, t in enumerate(texts) if _SPECIAL in t or not t.isascii() and any(x in t for x in _LEADS) and _TOUCHING.search(t)]
+        whole = [i for i, t in enumerate(texts) if self._needs_whole(t)]
         if not whole:
             return self._encode(texts)
         ids, count = self._encode(_without(texts, whole))
@@ -192,14 +209,55 @@ def _without(texts: list[bytes], gone: list[int]) -> list[bytes]:
     return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level vocabularies write a byte as the character of its number where that is visible, the others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+class PieceEncoder(Encoder):
+    """A sentencepiece BPE model. No piece goes on after a space in it, so a space and the word after it are cut off as in byte-level
+    tokenizers; runs of spaces and carriage returns join with other characters in such vocabularies, and texts with them go whole.
+    Texts are to begin with the space that the model would add."""
+
+    def _open(self, path: str) -> None:
+        import sentencepiece
+
+        self._model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = self._model.id_to_piece(list(range(self._model.get_piece_size())))
+        joined = [p for p in pieces if "\u2581" in p.lstrip("\u2581") or re.search(r"[\t\n]", p) or re.fullmatch(r".*[A-Za-z\u00c0-\u00ff][.,]+", p)]
+        if joined:
+            raise ValueError(f"the model has pieces that reach beyond a word: {joined[:3]}")
+
+    def token_bytes(self) -> list[bytes]:
+        model = self._model
+        one = lambda i: bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("\u2581", " ").encode()
+        return [one(i) for i in range(model.get_piece_size())]
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        """Ids without the space that the model puts first: a line feed after it keeps it apart."""
+        if not hasattr(self, "_before"):
+            self._before = len(self._model.encode("\n"))
+        return [ids[self._before :] for ids in self._model.encode(["\n" + t for t in texts], num_threads=1)]
+
+    def _needs_whole(self, text: bytes) -> bool:
+        return b"  " in text or b"\r" in text or b"\xe2\x96\x81" in text
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if any(not t.startswith(b" ") for t in texts):
+            raise ValueError("texts must begin with a space")
+        return super().encode(texts)
+
+
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, plain: bool = False) -> Encoder:
     """One encoder for each tokenizer in a Python worker, kept from task to task."""
-    if (path, cut) not in _encoders:
-        _encoders[path, cut] = Encoder(path, cut)
-    return _encoders[path, cut]
+    if (path, cut, plain) not in _encoders:
+        _encoders[path, cut, plain] = PieceEncoder(path, cut, plain=plain) if path.endswith(".model") else Encoder(path, cut, plain=plain)
+    return _encoders[path, cut, plain]
 
 
 def encoded(batch: pa.RecordBatch, own: Encoder, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
