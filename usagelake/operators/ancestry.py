@@ -1,122 +1,164 @@
-"""Copies of a parent session's records in forked sessions: the one operator that stays procedural.
+"""Copies of a parent session's records in forked sessions.
 
-A component of sessions that are joined by parent links is folded in one task, parents before children. What a session has
-proven (fingerprint to fact) passes on to its forks; a fork's row with just one inherited fact is a copy of it.
+Sessions are put into levels, parents before children, and a level's rows are decided together: what the levels before have
+proven (fingerprint to fact) comes by a join on ancestor and fingerprint, and what happens inside a session is windows over its
+rows. A fork's row with just one inherited fact is a copy of it. There are as many rounds as the longest line of forks has
+members; each reads its own level's rows and the proofs, and is written to the shared folder.
+
+A session whose line of parents is broken (no metadata, contradicting metadata, a parent that isn't there, a circle) proves
+nothing, and so do its descendants.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dealt, kept
 from .graph import component_labels
 
-RESULT = "evidence_id string, fact_id string, session_native_id string, code string"
+ORDER = ("occurred_at_ms", "ordinal", "evidence_id")
+#: So many levels' proofs are read as tables of their own before they are written as one.
+MOST_TABLES = 16
+RESULT = ("evidence_id", "fact_id", "session_native_id", "code")
 
 
 def sessions(evidence: DataFrame) -> DataFrame:
     """(session, parent, is_fork, conflict) from all session records, own and carried."""
-    own = evidence.where("harness = 'codex'").select(F.explode(F.concat(F.array(F.struct("ordinal", "data", "diagnostics")), "context")).alias("c")).select("c.data", "c.diagnostics").distinct()
+    own = evidence.where("harness = 'codex'").select(F.explode(F.concat(F.array(F.struct("ordinal", "data", "diagnostics")), "context")).alias("c")).select("c.data", "c.diagnostics").where(F.contains("data", F.lit("session_meta"))).distinct()
     at = lambda p: F.nullif(F.trim(F.get_json_object("data", f"$.payload.{p}")), F.lit(""))
     parents = F.array_distinct(F.array_compact(F.array(at("forked_from_id"), at("parent_thread_id"), at("source.subagent.thread_spawn.parent_thread_id"))))
     metas = own.where(F.get_json_object("data", "$.type") == "session_meta").select(at("id").alias("session"), parents.alias("parents"), F.array_contains("diagnostics", "native_subagent_present").alias("sub")).where("session is not null")
-    metas = metas.select("session", F.when(F.size("parents") > 0, F.col("parents")[0]).otherwise("").alias("parent"), ((F.size("parents") > 0) | F.coalesce("sub", F.lit(False))).alias("is_fork"), (F.size("parents") > 1).alias("split"))
+    metas = metas.select("session", F.when(F.size("parents") > 0, F.element_at("parents", -1)).otherwise("").alias("parent"), ((F.size("parents") > 0) | F.coalesce("sub", F.lit(False))).alias("is_fork"), (F.size("parents") > 1).alias("split"))
     return metas.groupBy("session").agg(F.max("parent").alias("parent"), F.max("is_fork").alias("is_fork"), (F.max("split") | (F.min("parent") != F.max("parent")) | (F.min("is_fork") != F.max("is_fork"))).alias("conflict"))
 
 
-def _order(parents: dict[str, str]) -> tuple[list[str], set[str]]:
-    """Sessions with every parent before its children, and those whose line of parents runs in a circle."""
-    out, placed, circle = [], set(), set()
-    for start in sorted(parents):
-        line, at = [], start
-        while at in parents and at not in placed and at not in line:
-            line.append(at)
-            at = parents[at]
-        if at in line:
-            circle.update(line[line.index(at) :])
-        for s in reversed(line):
-            placed.add(s)
-            out.append(s)
-    return out, circle
-
-
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    metas = {r.session: r for r in rows[rows["evidence_id"].isna()].itertuples()}
-    items = rows[rows["evidence_id"].notna()].sort_values(["occurred_at_ms", "ordinal", "evidence_id"])
-    by_session = {s: list(g.itertuples()) for s, g in items.groupby("session")}
-    known = set(metas) | set(by_session)
-    order, circle = _order({s: metas[s].parent if s in metas and metas[s].is_fork else "" for s in known})
-    problems: dict[str, str] = {}
-    proofs: dict[str, dict[str, dict[str, tuple[str, str]]]] = {}
-    out = []
-    for s in order:
-        meta = metas.get(s)
-        fork = bool(meta and meta.is_fork)
-        problem = "missing_session_context" if meta is None else "conflicting_parent" if meta.conflict else ""
-        own: dict[str, dict[str, tuple[str, str]]] = {}
-        if s in circle:
-            problem = "ancestry_cycle"
-        elif fork and meta.parent not in metas:
-            problem = "missing_parent"
-        elif fork and problems.get(meta.parent):
-            problem = "unresolved_parent"
-        elif fork:
-            own = {f: dict(facts) for f, facts in proofs.get(meta.parent, {}).items()}
-        inherited_turns = {turn for facts in own.values() for _, turn in facts.values()} if fork else set()
-        inherited = {f: dict(facts) for f, facts in own.items()}
-        mark, turn, seen = None, "", {}
-        for r in by_session.get(s, []):
-            before = inherited.get(r.fingerprint, {}) if r.fingerprint else {}
-            if len(before) == 1:
-                (fact, (session, _)), = before.items()
-                out.append((r.evidence_id, fact, session.split("\n")[0], "known_duplicate"))
-                continue
-            if r.fact_id in seen:
-                out.append((r.evidence_id, r.fact_id, s, seen[r.fact_id] or r.code))
-                continue
-            code = r.code
-            if fork and r.turn != turn:
-                mark = None
-            turn = r.turn
-            counts = None if r.cumulative is None else tuple(r.cumulative)
-            if counts is not None and mark is not None and counts == mark:
-                code = "known_duplicate"
-            elif counts is not None and mark is not None and _size(counts) < _size(mark):
-                code = "stale_snapshot"
-            else:
-                mark = counts or mark
-                if problem:
-                    code = problem
-                elif not r.fingerprint:
-                    code = code or "unverifiable_snapshot"
-                elif len(before) > 1:
-                    code = "ambiguous_parent_fact"
-                elif r.turn in inherited_turns:
-                    code = "uncertain_replay_boundary"
-                if not code:
-                    own.setdefault(r.fingerprint, {})[r.fact_id] = (s, r.turn)
-            seen[r.fact_id] = code
-            out.append((r.evidence_id, r.fact_id, s, code))
-        problems[s], proofs[s] = problem, own
-    return pd.DataFrame(out, columns=["evidence_id", "fact_id", "session_native_id", "code"])
-
-
-def _size(counts: tuple) -> int:
-    """Input, output, reasoning and the larger cache counter; the total doesn't count."""
-    i, cached, read, o, reasoning, _ = (max(c, 0) for c in counts)
-    return i + max(cached, read) + o + reasoning
+def _met_first(circled: DataFrame, used: DataFrame) -> DataFrame:
+    """(session): of each circle of parents the one at which a walk from the smallest used session comes in. circled: sessions
+    (session, parent) whose line of parents ends in a circle."""
+    ring, n = circled, circled.count()
+    while True:  # without those that no one has for a parent, until only circles are left
+        ring = kept(ring.join(ring.select(F.col("parent").alias("session")).distinct(), "session", "left_semi"))
+        before, n = n, ring.count()
+        if n == before:
+            break
+    labels = component_labels(ring.select(F.col("session").alias("node")), ring.select(F.col("session").alias("child"), "parent"))
+    landed = front = kept(ring.join(labels, ring["session"] == labels["node"]).select("session", F.col("session").alias("landing"), "component"))
+    while not front.isEmpty():
+        next_ = circled.join(front.select(F.col("session").alias("parent"), "landing", "component"), "parent").select("session", "landing", "component")
+        front = kept(next_.join(landed, "session", "left_anti"))
+        landed = kept(landed.unionByName(front))
+    first = landed.join(used, "session", "left_semi").groupBy("component").agg(F.min(F.struct("session", "landing")).alias("x"))
+    return first.select(F.col("x.landing").alias("session")).distinct()
+
+
+def levels(metas: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(session, is_fork, problem, level) of all sessions, those of `used` (session) without metadata too; (session, ancestor) for
+    sessions that inherit; and the number of levels. Only sessions that inherit have a level above 0."""
+    metas = kept(metas)
+    there = metas.select(F.col("session").alias("parent"), F.lit(True).alias("__there"))
+    linked = metas.join(there, "parent", "left").withColumn("__linked", F.col("is_fork") & F.coalesce("__there", F.lit(False))).drop("__there")
+    problem = F.when(F.col("is_fork"), "missing_parent").when(F.col("conflict"), "conflicting_parent").otherwise("")
+    front = kept(linked.where("not __linked").select("session", "is_fork", problem.alias("problem"), F.lit(0).alias("level")))
+    rest, placed, lines, level = kept(linked.where("__linked").drop("__linked")), [front], [], 0
+    while not rest.isEmpty():
+        level += 1
+        above = front.select(F.col("session").alias("parent"), F.col("problem").alias("__above"))
+        own = F.when(F.col("__above") != "", "unresolved_parent").when(F.col("conflict"), "conflicting_parent").otherwise("")
+        found = kept(rest.join(above, "parent").select("session", "parent", "is_fork", own.alias("problem")))
+        if found.isEmpty():
+            break
+        heirs = found.where("problem <> 'unresolved_parent'").select("session", F.col("parent").alias("ancestor"))
+        lines.append(kept(heirs.unionByName(heirs.withColumnRenamed("ancestor", "__p").join(lines[-1].withColumnRenamed("session", "__p"), "__p").select("session", "ancestor")) if lines else heirs))
+        front = found.select("session", "is_fork", "problem", F.when(F.col("problem") == "unresolved_parent", 0).otherwise(level).alias("level"))
+        placed.append(front)
+        rest = kept(rest.join(found.select("session"), "session", "left_anti"))
+    if not rest.isEmpty():
+        entry = _met_first(rest.select("session", "parent"), used).withColumn("__entry", F.lit(True))
+        placed.append(rest.join(entry, "session", "left").select("session", "is_fork", F.when(F.col("__entry"), "ancestry_cycle").otherwise("unresolved_parent").alias("problem"), F.lit(0).alias("level")))
+    out, closure = placed[0], lines[0] if lines else metas.limit(0).select("session", F.col("parent").alias("ancestor"))
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    for line in lines[1:]:
+        closure = closure.unionByName(line)
+    unknown = used.distinct().join(metas, "session", "left_anti").select("session", F.lit(False).alias("is_fork"), F.lit("missing_session_context").alias("problem"), F.lit(0).alias("level"))
+    return kept(out.unionByName(unknown)), kept(closure), len(lines) + 1
+
+
+def _inherited(rows: DataFrame, closure: DataFrame, proofs: DataFrame) -> DataFrame:
+    """rows with facts (how many facts of ancestors have the fingerprint), original (the least of them) and in_turn (an ancestor has a
+    proof in the row's turn)."""
+    owned = proofs.select(F.col("session").alias("ancestor"), F.col("fingerprint"), "fact_id", "turn")
+    lines = rows.select("session").distinct().join(closure, "session")
+    same = rows.select("evidence_id", "session", "fingerprint").where("fingerprint <> ''").join(lines, "session").join(owned, ["ancestor", "fingerprint"])
+    facts = same.groupBy("evidence_id").agg(F.count("*").alias("facts"), F.min(F.struct("fact_id", F.col("ancestor").alias("session"))).alias("original"))
+    # A turn's name may hold colons, and a message's begins with that of its turn and a colon.
+    parts = F.split("turn", ":")
+    turns = owned.where("turn <> ''").select("ancestor", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ":"))).alias("turn")).distinct()
+    met = lines.join(turns, "ancestor").select("session", "turn").distinct().withColumn("in_turn", F.lit(True))
+    return rows.join(facts, "evidence_id", "left").join(met, ["session", "turn"], "left")
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """One level's rows with RESULT's columns and what a proof needs."""
+    copy = F.coalesce(F.col("facts") == 1, F.lit(False))
+    copies = rows.where(copy).select("evidence_id", F.col("original.fact_id").alias("fact_id"), F.col("original.session").alias("session_native_id"), F.lit("known_duplicate").alias("code"), "session", "fingerprint", "turn")
+    own = rows.where(~copy).withColumn("__first", F.first("evidence_id").over(Window.partitionBy("session", "fact_id").orderBy(*ORDER)))
+    line = Window.partitionBy("session").orderBy(*ORDER)
+    heads = own.where("__first = evidence_id").withColumn("__new", F.coalesce((F.col("turn") != F.lag("turn").over(line)).cast("int"), F.lit(0)))
+    # A fork's mark starts anew with each turn. The mark before a row is the largest sum so far; of that sum the last counters are compared.
+    heads = heads.withColumn("__run", F.when(F.col("is_fork"), F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))
+    before = Window.partitionBy("session", "__run").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("__stale", F.coalesce(F.col("counters.sum") < F.max("counters.sum").over(before), F.lit(False)))
+    heads = heads.withColumn("__same", F.coalesce(F.last(F.when(~F.col("__stale"), F.col("counters")), ignorenulls=True).over(before) == F.col("counters"), F.lit(False)))
+    code = (
+        F.when(F.col("__same"), "known_duplicate").when(F.col("__stale"), "stale_snapshot").when(F.col("problem") != "", F.col("problem"))
+        .when(F.col("fingerprint") == "", F.coalesce(F.nullif("code", F.lit("")), F.lit("unverifiable_snapshot"))).when(F.col("facts") > 1, "ambiguous_parent_fact").when(F.col("in_turn"), "uncertain_replay_boundary").otherwise(F.col("code"))
+    )
+    shape = lambda df, c: df.select("evidence_id", "fact_id", F.col("session").alias("session_native_id"), c.alias("code"), "session", "fingerprint", "turn")
+    judged = shape(heads, code)
+    first = judged.select(F.col("evidence_id").alias("__first"), F.col("code").alias("__code"))
+    again = own.where("__first <> evidence_id").join(first, "__first")
+    # A repeated id proves nothing of its own.
+    return copies.unionByName(judged).unionByName(shape(again, F.coalesce(F.nullif("__code", F.lit("")), "code")).withColumn("fingerprint", F.lit("")))
+
+
+def _counters(cumulative: str) -> Column:
+    """What is compared of a row's cumulative counters (-1: absent), and their sum: input, output, reasoning and the larger cache counter."""
+    i, o, r, total = (F.col(f"{cumulative}.{c}") for c in ("input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"))
+    cache = F.greatest(f"{cumulative}.cached_input_tokens", f"{cumulative}.cache_read_input_tokens")
+    above = [F.greatest(x, F.lit(0)) for x in (i, cache, o, r)]
+    return F.when(F.col(cumulative).isNotNull(), F.struct((above[0] + above[1] + above[2] + above[3]).alias("sum"), i.alias("input"), cache.alias("cache"), o.alias("output"), r.alias("reasoning"), total.alias("total")))
+
+
+def decide(rows: DataFrame, metas: DataFrame) -> DataFrame:
+    """RESULT for rows (session, evidence_id, fact_id, ordinal, occurred_at_ms, turn, fingerprint, counters, code) by the sessions' ancestry."""
+    placed, closure, n = levels(metas, rows.select("session").distinct())
+    rows = dealt(rows.join(placed, "session"), "level")
+    no_facts = {"facts": F.lit(None).cast("long"), "original": F.lit(None).cast("struct<fact_id:string,session:string>"), "in_turn": F.lit(None).cast("boolean")}
+    done, proofs = [], []
+    for level in range(n):
+        own = rows.where(F.col("level") == level)
+        if proofs:
+            known = proofs[0]
+            for p in proofs[1:]:
+                known = known.unionByName(p)
+            if len(proofs) == MOST_TABLES:
+                known = kept(known)
+                proofs = [known]
+            own = _inherited(own, closure, known)
+        else:
+            own = own.withColumns(no_facts)
+        found = kept(_decided(own))
+        done.append(found.select(*RESULT))
+        proofs.append(found.where("code = '' and fingerprint <> ''").select("session", "fingerprint", "fact_id", "turn"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def resolve_copies(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     """The harness's candidates with fact_id, session_native_id and code as its sessions' ancestry decides."""
-    metas = sessions(evidence)
-    nodes = metas.select(F.col("session").alias("node")).unionByName(candidates.select(F.col("session_native_id").alias("node"))).distinct()
-    edges = metas.where("is_fork and parent <> ''").select(F.col("session").alias("child"), "parent")
-    labels = component_labels(nodes, edges)
-    wide = ["session", "parent", "is_fork", "conflict", "evidence_id", "fact_id", "ordinal", "occurred_at_ms", "turn", "fingerprint", "cumulative", "code"]
-    counts = F.array(*(F.col(f"cumulative.{c}") for c in ("input_tokens", "cached_input_tokens", "cache_read_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")))
-    rows = candidates.select(F.col("session_native_id").alias("session"), "evidence_id", "fact_id", "ordinal", "occurred_at_ms", "turn", "fingerprint", F.when(F.col("cumulative").isNotNull(), counts).alias("cumulative"), "code")
-    both = metas.unionByName(rows, allowMissingColumns=True).select(*wide)
-    folded = both.join(labels, both["session"] == labels["node"]).groupBy("component").applyInPandas(lambda pdf: _fold(pdf), RESULT)
-    return candidates.drop("fact_id", "session_native_id", "code").join(folded, "evidence_id")
+    rows = candidates.select(F.col("session_native_id").alias("session"), "evidence_id", "fact_id", "ordinal", "occurred_at_ms", "turn", "fingerprint", _counters("cumulative").alias("counters"), "code")
+    return candidates.drop("fact_id", "session_native_id", "code").join(decide(rows, sessions(evidence)), "evidence_id")

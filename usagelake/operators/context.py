@@ -13,9 +13,10 @@ def carried(rows: DataFrame, kinds: dict[str, Column], value: Column, by: tuple[
 
 
 def next_value(rows: DataFrame, test: Column, value: Column, name: str, by: tuple[str, ...] = ("source_id", "lineage"), order: str = "ordinal") -> DataFrame:
-    """rows with the value of the nearest later record that passes the test."""
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn(name, F.first(F.when(test, value), ignorenulls=True).over(after))
+    """rows with the value of the nearest later record that passes the test. The window runs from the last record to the first, so
+    that its frame only grows: Spark would compute a frame that shrinks from scratch for each row."""
+    after = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(F.when(test, value), ignorenulls=True).over(after))
 
 
 def first_seen(rows: DataFrame, key: str, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

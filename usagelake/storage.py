@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there: later stages restart from files that outlive any executor, and
-    what reads it several times computes it once. Where the setting is missing, a folder of this machine will do only if
-    there is no other."""
+def _folder(df: DataFrame) -> SparkContext:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    return context
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir and read from there: later stages restart from files that outlive any executor, and
+    what reads it several times computes it once. Where the setting is missing, a folder of this machine will do only if
+    there is no other."""
+    _folder(df)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """Like kept, in a folder for each value of the column, which should have few: a filter on it reads that folder only."""
+    path = f"{_folder(df).getCheckpointDir()}/{column}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
