@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import rfc3339_ms
 from ..functions.text import first_nonblank, integer, invalid_integer, nonblank, token_sum, tuple_hash
+from ..sources.sanitize import parsed
 from .context import next_value
 from .facts import LOCATION, SCOPE, valid
 from .resolve import ambiguity
@@ -21,18 +22,29 @@ from .resolve import ambiguity
 #: Other names of providers.
 PROVIDER_ALIASES = {"fireworks-ai": "fireworks"}
 PI_ALIASES = {"openai-codex": "openai"}
+#: Types of records that carry something for later ones.
+CONTEXTS = {"pi": ("session",), "codex": ("session_meta", "turn_context", "event_msg")}
 MODEL_PREFIX = "accounts/fireworks/models/"
 
 
-def _at(path: str, data: str | Column = "data") -> Column:
-    return F.get_json_object(data, f"$.{path}")
+def _records(evidence: DataFrame, harness: str) -> DataFrame:
+    """The harness's usage records, their data parsed once as __d and the latest context of each kind as __latest_<kind>."""
+    rows = evidence.where((F.col("harness") == harness) & F.col("is_usage")).withColumn("__d", parsed(F.col("data"), harness))
+    kinds = CONTEXTS.get(harness, ())
+    if not kinds:
+        return rows
+    rows = rows.withColumn("__c", F.transform("context", lambda c: parsed(c["data"], harness)))
+    latest = lambda kind: F.try_element_at(F.filter("__c", lambda c: c["type"] == kind), F.lit(-1))
+    return rows.withColumns({f"__latest_{k}": latest(k) for k in kinds}).drop("__c")
+
+
+def _at(path: str) -> Column:
+    return F.col(f"__d.{path}")
 
 
 def _from_context(kind: str, path: str) -> Column:
     """The value in the latest context of the kind."""
-    type_ = lambda c: F.coalesce(F.get_json_object(c["data"], "$.type"), F.lit(""))
-    found = F.filter("context", lambda c: type_(c) == kind)
-    return F.when(F.size(found) > 0, _at(path, F.element_at(found, -1)["data"]))
+    return F.col(f"__latest_{kind}.{path}")
 
 
 def canonical_provider(raw: Column, harness: Column) -> tuple[Column, Column]:
@@ -107,7 +119,7 @@ def pi(evidence: DataFrame) -> DataFrame:
         "session": nonblank(_from_context("session", "id")), "message": nonblank(_at("id")), "request": F.lit(None).cast("string"), "ms": F.coalesce(integer(_at("message.timestamp")), rfc3339_ms(_at("timestamp"))),
         "provider": _at("message.provider"), "model": _at("message.model"), "input": use("input"), "output": use("output"), "reasoning": use("reasoning"), "read": use("cacheRead"), "write": use("cacheWrite"), "total": use("totalTokens"),
     }
-    return _candidate(evidence.where("harness = 'pi' and is_usage"), raw, [], "derived", legacy_total=True)
+    return _candidate(_records(evidence, "pi"), raw, [], "derived", legacy_total=True)
 
 
 def claude(evidence: DataFrame) -> DataFrame:
@@ -120,7 +132,7 @@ def claude(evidence: DataFrame) -> DataFrame:
         "write": use("cache_creation_input_tokens"), "total": use("total_tokens"),
     }
     groups = [[nonblank(_at("sessionId")), nonblank(_at("session_id"))], [nonblank(_at("requestId")), nonblank(_at("request_id"))], [F.nullif(x, F.lit("")) for x in providers], [F.nullif(x, F.lit("")) for x in models], thinking]
-    return _candidate(evidence.where("harness = 'claude-code' and is_usage"), raw, groups, "derived")
+    return _candidate(_records(evidence, "claude-code"), raw, groups, "derived")
 
 
 def opencode(evidence: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def opencode(evidence: DataFrame) -> DataFrame:
         "provider": F.when(second, _at("data.model.providerID")).otherwise(_at("data.providerID")), "model": F.when(second, _at("data.model.id")).otherwise(_at("data.modelID")),
         "input": use("input"), "output": use("output"), "reasoning": use("reasoning"), "read": use("cache.read"), "write": use("cache.write"), "total": F.lit(None).cast("string"),
     }
-    return _candidate(evidence.where("harness = 'opencode' and is_usage"), raw, [], "exact", exclusive=True)
+    return _candidate(_records(evidence, "opencode"), raw, [], "exact", exclusive=True)
 
 
 CODEX_COUNTERS = ("input_tokens", "cached_input_tokens", "cache_read_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
@@ -155,8 +167,13 @@ def _snapshot(s: str) -> dict[str, Column]:
 def codex(evidence: DataFrame) -> DataFrame:
     """With turn, cumulative (a struct of counters; null: none) and fingerprint (empty: a copy of it can't be recognized). A row
     without a model takes that of the nearest later turn context of its source."""
-    rows = evidence.where("harness = 'codex'")
-    rows = next_value(rows, _at("type") == "turn_context", F.coalesce(nonblank(_at("payload.model")), F.lit("")), "__later").where("is_usage")
+    rows = _records(evidence, "codex").withColumn("__later", F.lit(None).cast("string"))
+    # Only rows without a model look ahead, among themselves and the turn contexts: the others keep their order and tasks.
+    known = nonblank(_from_context("turn_context", "payload.model")).isNotNull()
+    turns = evidence.where("harness = 'codex' and not is_usage").withColumn("__d", parsed(F.col("data"), "codex")).where(_at("type") == "turn_context")
+    turns = turns.select("source_id", "lineage", "ordinal", "is_usage", F.coalesce(nonblank(_at("payload.model")), F.lit("")).alias("__model"))
+    lacking = rows.where(~known).drop("__later").unionByName(turns, allowMissingColumns=True)
+    rows = rows.where(known).unionByName(next_value(lacking, ~F.col("is_usage"), F.col("__model"), "__later").where("is_usage").drop("__model"))
     rows = rows.withColumns({f"__{s}_{c}": _at(f"payload.info.{s}_token_usage.{c}") for s in ("last", "total") for c in CODEX_COUNTERS})
     rows = rows.withColumns({f"__n_{s}_{c}": integer(F.col(f"__{s}_{c}")) for s in ("last", "total") for c in CODEX_COUNTERS})
     rows = rows.withColumns(_snapshot("last") | _snapshot("total") | {"__turn": first_nonblank(_from_context("turn_context", "payload.turn_id"), _from_context("event_msg", "payload.turn_id"))})

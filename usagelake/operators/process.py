@@ -28,8 +28,10 @@ class Projection:
 
 def process(evidence: DataFrame, dataset: str = "default", generation: int = 1, revision: int = 0) -> Projection:
     """All of a dataset's evidence at once; equal rows of evidence count once."""
-    rows = evidence.dropDuplicates(["harness", "format", "source_id", "lineage", "ordinal", "data"])
     # Written once each: everything below reads them several times.
+    # The number of parts is given, because AQE would put a small batch of records into one task, and each takes long.
+    keys = ["harness", "format", "source_id", "lineage", "ordinal", "data"]
+    rows = kept(evidence.repartition(int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).dropDuplicates(keys))
     plain = kept(identified(pi(rows).unionByName(claude(rows)).unionByName(opencode(rows))))
     copies = kept(identified(codex(rows)))
     good = resolve_copies(copies.where("usable"), rows).drop(*_EXTRA)

@@ -43,31 +43,24 @@ def parsed(json: Column, harness: str) -> Column:
     return F.from_json(json, schema_of(harness), {"mode": "PERMISSIVE"})
 
 
-def _leaf(record: Column, path: str) -> Column:
-    for part in path.split("."):
-        record = record.getField(part)
-    return record
-
-
 def sanitize(df: DataFrame, harness: str, json_col: str = "value") -> DataFrame:
-    """df with data (JSON text of the listed leaves; null: not an object) and diagnostics (sorted codes)."""
-    record = parsed(F.col(json_col), harness)
-    out, values = df.withColumn("__r", record), {}
-    notes = []
-    for path in LEAVES[harness]:
-        v = _leaf(F.col("__r"), path)
-        shape, long = v.rlike(r"^\s*[\[{]"), F.octet_length(v) > 256
-        unsafe = ~shape & ~long & ~safe_metadata(v) & v.isNotNull()
-        notes += [F.when(shape, "invalid_field_type"), F.when(~shape & long, "field_limit"), F.when(unsafe, "unsafe_metadata")]
-        values[path] = F.when(shape | long | unsafe, F.lit(None)).otherwise(v)
+    """df with data (JSON text of the listed leaves; null: not an object) and diagnostics (sorted codes). The leaves are judged as one
+    array, so that the expression doesn't grow with their number."""
+    leaves = LEAVES[harness]
+    place = {path: i for i, path in enumerate(leaves)}
+    out = df.withColumn("__r", parsed(F.col(json_col), harness)).withColumn("__all", F.expr(f"array({', '.join(f'__r.{path}' for path in leaves)})"))
+    flaw = lambda v: F.when(v.rlike(r"^\s*[\[{]"), "invalid_field_type").when(F.octet_length(v) > 256, "field_limit").when(v.isNotNull() & ~safe_metadata(v), "unsafe_metadata")
+    out = out.withColumn("__flaws", F.transform("__all", flaw))
+
+    def build(tree: dict, prefix: str = "") -> str:
+        fields = (f"'{k}', {build(v, f'{prefix}{k}.') if v else f'IF(__flaws[{place[prefix + k]}] IS NULL, __all[{place[prefix + k]}], NULL)'}" for k, v in tree.items())
+        return f"named_struct({', '.join(fields)})"
+
+    notes = F.array_compact("__flaws")
     if harness == "codex":
-        notes.append(F.when(F.get_json_object(json_col, "$.payload.source.subagent").isNotNull(), "native_subagent_present"))
-
-    def build(tree: dict, prefix: str = "") -> Column:
-        return F.struct(*((build(v, f"{prefix}{k}.") if v else values[prefix + k]).alias(k) for k, v in tree.items()))
-
-    data = F.when(F.col("__r").isNotNull() & F.col(json_col).rlike(r"^\s*\{"), F.to_json(build(_tree(LEAVES[harness]))))
-    return out.withColumn("data", data).withColumn("diagnostics", F.array_sort(F.array_distinct(F.array_compact(F.array(*notes))))).drop("__r")
+        notes = F.concat(notes, F.array_compact(F.array(F.when(F.get_json_object(json_col, "$.payload.source.subagent").isNotNull(), "native_subagent_present"))))
+    data = F.when(F.col("__r").isNotNull() & F.col(json_col).rlike(r"^\s*\{"), F.to_json(F.expr(build(_tree(leaves)))))
+    return out.withColumns({"data": data, "diagnostics": F.array_sort(F.array_distinct(notes))}).drop("__r", "__all", "__flaws")
 
 
 def is_usage(harness: Column, format_: Column, data: Column) -> Column:
