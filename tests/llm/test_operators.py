@@ -362,6 +362,36 @@ def test_jaccard(docs, empty, monkeypatch, n, threshold, chunk):
         assert jaccard.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize(("cold", "salted"), [(2, 3), (32, 250_000)])
+def test_jaccard_of_shared_passages(spark, monkeypatch, cold, salted):
+    """Texts of one passage and words of their own, on both sides of the threshold: hot signatures everywhere."""
+    monkeypatch.setattr(jaccard, "COLD", cold)
+    monkeypatch.setattr(jaccard, "SALTED", salted)
+    rng = random.Random(cold)
+    cores = [[f"c{k}-{i}" for i in range(60)] for k in range(3)]
+    texts = [" ".join(x for x in [*rng.choice(cores), *(f"w{rng.randrange(200)}" for _ in range(rng.randint(0, 14)))] if rng.random() > 0.01) for _ in range(240)]
+    sets = [_shingles(t, 3) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= Fraction(4, 5) * len(sets[i] | sets[j])]
+    wanted = _components(range(len(sets)), links)
+    found = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), n=3).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == wanted and 5 < len(set(wanted.values())) < 235
+
+
+def test_prefixes_meet():
+    """Of two sets at the threshold, one's long prefix shares an element with the other's short one; in the order given, others may not."""
+    rng, t = np.random.default_rng(4), Fraction(4, 5)
+    for _ in range(200):
+        n, own = int(rng.integers(1, 60)), int(rng.integers(0, 8))
+        common = rng.integers(0, 2**63, n, dtype=np.uint64)
+        pair = [np.unique(np.concatenate([common, rng.integers(0, 2**63, int(rng.integers(0, own + 1)), dtype=np.uint64)])) for _ in range(2)]
+        which, element, far = jaccard.prefixes(pair, rng.integers(0, 9, jaccard.CELLS), t)
+        short, long = ({(w, e) for w, e, f in zip(which, element, far, strict=True) if not f or not only} for only in (True, False))
+        big = int(len(pair[1]) > len(pair[0]))
+        shared = len(np.intersect1d(*pair))
+        met = {e for w, e in long if w == big} & {e for w, e in short if w != big}
+        assert met or shared < t * (len(pair[0]) + len(pair[1]) - shared)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(20)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(300, 300), (400, 401), (401, 400)]

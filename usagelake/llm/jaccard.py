@@ -9,8 +9,12 @@ out one third at a time gives a signature that both sets share.
 A signature of COLD nodes at most is cold and gives their pairs, at most COLD / 2 for each of its rows. One of more nodes is
 hot, as passages that many documents share and large groups of near copies make them, and gives none. A part of a set is
 thin if one of its signatures is hot or empty; two sets that match share signatures in spare + 1 parts, so a cold one finds
-them unless both have more than `spare` thin parts. Only such sets meet by hot and empty signatures too, in stars (one
-for all signatures that have the same smallest node), and the connected groups of these stars are candidates.
+them unless both have more than `spare` thin parts. Only such sets sign a second time, by single elements: with all elements
+in one order, the rarest first, the smaller set of a pair has one of the larger one's first few elements among its own still
+fewer ones (the two prefixes below). What many share comes last in that order, so sets that have a passage in common and
+little else don't meet at all, however many they are. The order needs no exact counts: any order finds all pairs. An element
+that opens more than COLD sets makes a star of its sets (one for all elements that have the same smallest node), and the
+connected groups of these stars are candidates.
 
 Candidates are thinned by sketches: a bit for each element or so, whose differences can't exceed the sets'. What is left
 forms small groups, and only their sets are fetched and compared, in chunks: within chunks, then between representatives of
@@ -25,11 +29,13 @@ and is its own component; repeated rows share a component; an empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +59,10 @@ SHINGLES_A_TASK = 1_000_000
 NAME = np.uint64((1 << 40) - 1)
 #: Kinds of rows that signatures give, and what is added to a node's name for the middle of a star.
 PAIR, THIN, STAR, MIDDLE = 0, 1, 2, 1 << 41
+#: Elements are counted in so many cells, which only decide their order: 4 MB that the tasks are sent.
+CELLS = 1 << 20
+#: Of an element that more sets have than this, the rows behind the short prefix are dealt out, and the others go to each part.
+SALTED = 250_000
 #: A table of this many rows of one or two numbers (16 MB in memory) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -231,13 +241,63 @@ def _pairs(node: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
+def _shards(docs: DataFrame, shingles: int) -> tuple[int, int]:
+    """(tasks, shards) for signatures of sets of so many shingles together."""
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // SHINGLES_A_TASK))
+    return partitions, 4 * partitions
+
+
+def _packed(sig: np.ndarray, name: np.ndarray, place: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Signature rows, a binary value for each shard."""
+    shard = ((sig >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20)
+    sig = sig & NAME
+    order = np.lexsort((sig, shard))
+    shard, sig, name, place = shard[order], sig[order], name[order], place[order]
+    starts = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
+    spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True))
+    data = [_planes(sig[a:b], 5) + _planes(name[a:b], 5) + _planes(place[a:b], 4) for a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+
+
+def _unpacked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, name, place) of a shard's blocks."""
+    columns: list[list[np.ndarray]] = [[], [], []]
+    for block in blocks:
+        rows, at = len(block) // 14, 0
+        for column, width in zip(columns, (5, 5, 4), strict=True):
+            column.append(_unplaned(block[at : at + width * rows], width, rows))
+            at += width * rows
+    return tuple(np.concatenate(c) for c in columns)  # type: ignore[return-value]
+
+
+def _by_shard(dealt: DataFrame, partitions: int, shared: Callable[[list[bytes]], pa.RecordBatch], label: str) -> DataFrame:
+    """shared() of each shard's blocks: rows (kind, a, b)."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, blocks = None, []
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != shard and blocks:
+                    yield shared(blocks)
+                    blocks = []
+                shard = s
+                blocks.append(data)
+        if blocks:
+            yield shared(blocks)
+
+    return cut(dealt.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(tidy(met), "kind int, a long, b long"), label)
+
+
+def _rows_of(*kinds: tuple[int, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    kind = np.repeat(np.array([k for k, _, _ in kinds], np.int32), [len(a) for _, a, _ in kinds])
+    a, b = (np.concatenate([x[i] for x in kinds]).astype(np.int64) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+
 def _signed(docs: DataFrame, n: int, threshold: Fraction, seed: int, shingles: int) -> DataFrame:
     """Rows (kind, a, b). PAIR: short names of two nodes that share a cold signature. THIN: node a has a hot or empty signature at its
-    part b (the lowest bit is that of the band). STAR: node b >> 1 (the lowest bit is that of the band) has the hot or empty
-    signature whose smallest node is a. shingles: the sum of the sets' sizes."""
-    spark = docs.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // SHINGLES_A_TASK))
-    shards = 4 * partitions
+    part b (the lowest bit is that of the band). shingles: the sum of the sets' sizes."""
+    (partitions, shards), most = _shards(docs, shingles), COLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
@@ -246,27 +306,12 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction, seed: int, shingles: i
             for part in bounded(texts, BLOCK_BYTES):
                 sets = [s for s in shingle_sets(texts[part], n, seed) if len(s)]
                 which, sig, place, empty = signatures(sets, bands)
-                if not len(sig):
-                    continue
-                name = np.array([node_of(s)[0] for s in sets], np.int64)[which].view(np.uint64) & NAME
-                shard = ((sig >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20)
-                sig &= NAME
-                place = place << np.uint64(1) | empty
-                order = np.lexsort((sig, shard))
-                shard, sig, name, place = shard[order], sig[order], name[order], place[order]
-                starts = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
-                spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True))
-                data = [_planes(sig[a:b], 5) + _planes(name[a:b], 5) + _planes(place[a:b], 4) for a, b in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+                if len(sig):
+                    name = np.array([node_of(s)[0] for s in sets], np.int64)[which].view(np.uint64) & NAME
+                    yield _packed(sig, name, place << np.uint64(1) | empty, shards)
 
     def shared(blocks: list[bytes]) -> pa.RecordBatch:
-        columns: list[list[np.ndarray]] = [[], [], []]
-        for block in blocks:
-            rows, at = len(block) // 14, 0
-            for column, width in zip(columns, (5, 5, 4), strict=True):
-                column.append(_unplaned(block[at : at + width * rows], width, rows))
-                at += width * rows
-        sig, name, place = (np.concatenate(c) for c in columns)
+        sig, name, place = _unpacked(blocks)
         order = np.argsort(sig)
         sig = sig[order]
         new = np.diff(sig, prepend=sig[:1] + np.uint64(1)) != 0
@@ -281,30 +326,106 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction, seed: int, shingles: i
         sig, name, place = sig[once], name[once], place[once]  # equal sets of several blocks
         starts = np.flatnonzero(np.diff(sig, prepend=sig[:1] + np.uint64(1)))
         sizes = np.diff(np.append(starts, len(sig)))
-        hot = np.repeat(sizes > COLD, sizes) | ((place & np.uint64(1)) > 0)
+        hot = np.repeat(sizes > most, sizes) | ((place & np.uint64(1)) > 0)
         left = np.flatnonzero(np.diff(sig[~hot], prepend=sig[~hot][:1] + np.uint64(1)))
         cold = _pairs(name[~hot], np.diff(np.append(left, int((~hot).sum()))))
-        part = place[hot] >> np.uint64(1)
-        least = np.repeat(name[starts], sizes)[hot]  # of one signature, names are sorted
-        star = np.unique(np.stack([least, name[hot] << np.uint64(1) | part & np.uint64(1)]), axis=1)
-        columns = [np.concatenate(c) for c in ((cold[0], name[hot], star[0]), (cold[1], part, star[1]))]
-        kind = np.repeat(np.array([PAIR, THIN, STAR], np.int32), [cold.shape[1], len(part), star.shape[1]])
-        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c.astype(np.int64)) for c in columns)], ["kind", "a", "b"])
+        return _rows_of((PAIR, cold[0], cold[1]), (THIN, name[hot], place[hot] >> np.uint64(1)))
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, blocks = None, []
+    return _by_shard(docs.select("text").mapInArrow(tidy(run), "shard int, data binary"), partitions, shared, "jaccard-signatures")
+
+
+def _rarity(docs: DataFrame, n: int, seed: int) -> bytes:
+    """How many sets have an element, counted in CELLS cells by hash: little-endian unsigned 32-bit numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s != shard and blocks:
-                    yield shared(blocks)
-                    blocks = []
-                shard = s
-                blocks.append(data)
-        if blocks:
-            yield shared(blocks)
+            texts = list(set(_texts(batch)))
+            for part in bounded(texts, BLOCK_BYTES):
+                found += np.bincount(np.concatenate([np.empty(0, np.int64), *map(_cells, shingle_sets(texts[part], n, seed))]), minlength=CELLS)
+        yield _counts(found)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                found += np.frombuffer(zlib.decompress(data), "<u4")
+        yield _counts(found)
+
+    schema = "part int, counts binary"
+    parts = docs.select("text").mapInArrow(tidy(count), schema)
+    for tasks in (16, 1):
+        parts = parts.repartition(tasks, "part").mapInArrow(tidy(add), schema)
+    return zlib.decompress(parts.first()["counts"])
+
+
+def _cells(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements ^ np.uint64(0x243F6A8885A308D3)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _counts(found: np.ndarray) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(found.clip(0, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+
+def prefixes(sets: list[np.ndarray], counts: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which set, element, whether it stands behind the short prefix) for the long prefix of each set, by rising counts. Of two sets that
+    reach the threshold, the long prefix of the larger one and the short one of the other share an element: both hold the
+    first of the common ones, behind which all the others must still have room."""
+    sizes = np.array([len(s) for s in sets])
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((elements, counts[_cells(elements)], owner))
+    place = np.arange(len(elements)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    up, down = threshold.numerator, threshold.denominator
+    long, short = (sizes + n // d + 1 for n, d in ((-up * sizes, down), (-2 * up * sizes, up + down)))
+    keep = place < np.repeat(long, sizes)
+    return owner[keep], elements[order][keep], (place >= np.repeat(short, sizes))[keep]
+
 
-    dealt = docs.select("text").mapInArrow(tidy(run), "shard int, data binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    return cut(dealt.mapInArrow(tidy(met), "kind int, a long, b long"), "jaccard-signatures")
+def _prefixed(docs: DataFrame, n: int, threshold: Fraction, seed: int, shingles: int, counts: bytes) -> DataFrame:
+    """Rows (kind, a, b). PAIR: short names of two nodes of which one has an element in its short prefix and the other in its long one.
+    STAR: node b has in its prefix an element that is in too many short ones; a is the smallest node of those that have it."""
+    (partitions, shards), most, salted = _shards(docs, shingles), COLD, SALTED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.frombuffer(counts, "<u4")
+        for batch in batches:
+            texts = list(set(_texts(batch)))
+            for part in bounded(texts, BLOCK_BYTES):
+                sets = [s for s in shingle_sets(texts[part], n, seed) if len(s)]
+                if sets:
+                    which, element, far = prefixes(sets, frequent, threshold)
+                    name = np.array([node_of(s)[0] for s in sets], np.int64)[which].view(np.uint64) & NAME
+                    salts = 1 + frequent[_cells(element)].astype(np.int64) // salted
+                    times = np.where(far, 1, salts)
+                    at = np.repeat(np.arange(len(element)), times)
+                    salt = np.where(far[at], name[at] % salts[at].astype(np.uint64), np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+                    yield _packed(mix(element[at] + mix(salt + np.uint64(0x9E3779B97F4A7C15))), name[at], far[at].astype(np.uint64), shards)
+
+    def shared(blocks: list[bytes]) -> pa.RecordBatch:
+        sig, name, far = _unpacked(blocks)
+        order = np.lexsort((far, name, sig))
+        sig, name, far = sig[order], name[order], far[order]
+        once = (np.diff(sig, prepend=sig[:1] + np.uint64(1)) != 0) | (np.diff(name, prepend=name[:1] + np.uint64(1)) != 0)
+        sig, name, far = sig[once], name[once], far[once]
+        group = np.cumsum(np.diff(sig, prepend=sig[:1]) != 0) if len(sig) else sig.astype(np.int64)
+        size, near = np.bincount(group), np.bincount(group, weights=far == 0)
+        live = (size[group] > 1) & (near[group] > 0) if len(sig) else np.empty(0, bool)
+        name, far, group = name[live], far[live], group[live]
+        star = near[group] > most
+        first = np.diff(group, prepend=-1) != 0
+        least = name[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
+        pairs, rest = [np.empty((2, 0), np.uint64)], np.flatnonzero(~star)
+        starts = rest[np.diff(group[rest], prepend=-1) != 0]
+        for a, g in zip(starts.tolist(), group[starts].tolist(), strict=True):
+            own, short = name[a : a + size[g]], far[a : a + size[g]] == 0
+            x, y = np.broadcast_arrays(own[short][:, None], own[None, :])
+            pairs.append(np.stack([np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]]))
+        near_pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        stars = np.unique(np.stack([least[star], name[star]]), axis=1)
+        return _rows_of((PAIR, near_pairs[0], near_pairs[1]), (STAR, stars[0], stars[1]))
+
+    return _by_shard(docs.select("text").mapInArrow(tidy(run), "shard int, data binary"), partitions, shared, "jaccard-prefixes")
 
 
 def _near_sketches(signed: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -321,8 +442,8 @@ def _near_sketches(signed: DataFrame, nodes: DataFrame, threshold: Fraction) ->
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sketch_a", "sketch_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def _hot_edges(signed: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Edges (a, b) for what cold signatures may miss: nodes with more thin parts than spare ones, met by hot or empty signatures."""
+def _thin(signed: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """(name): nodes with more thin parts than spare ones, which cold signatures may miss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
@@ -330,17 +451,36 @@ def _hot_edges(signed: DataFrame, nodes: DataFrame, threshold: Fraction) -> Data
             odd, thin, size, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
             own = bands.own(size)
             keep = (thin > bands.spare[own + ((own & 1) != odd)]) | (size != least)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0]).filter(pa.array(keep))
 
     thin = signed.where(F.col("kind") == THIN).groupBy(F.col("a").alias("name"), (F.col("b") % 2).alias("odd")).agg(F.count_distinct("b").alias("thin"))
-    over = cut(thin.join(nodes.groupBy("name").agg(F.max("n").alias("n"), F.min("n").alias("least")), "name").select("name", "odd", "thin", "n", "least").mapInArrow(tidy(run), "name long, odd long"), "jaccard-thin")
-    if over.isEmpty():
-        return over.select(F.col("name").alias("a"), F.col("odd").alias("b"))
-    # A star's middle stands for its signatures, not for the node it is named after, which may not be one of those that meet here.
-    stars = signed.where(F.col("kind") == STAR).select("a", "b").distinct().select((F.col("a") + MIDDLE).alias("a"), F.shiftright("b", 1).alias("name"), (F.col("b") % 2).alias("odd"))
-    met = components(stars.join(over, ["name", "odd"], "left_semi").select("a", F.col("name").alias("b")))
-    members = nodes.join(met.withColumnRenamed("node", "name"), "name").select("node", "root", _weight(F.length("sketch")).alias("weight"))
-    return _verified(members, nodes.select("node", F.col("sketch").alias("elements")), threshold, linked_sketches, SKETCHES * CHUNK)
+    sized = thin.join(nodes.groupBy("name").agg(F.max("n").alias("n"), F.min("n").alias("least")), "name").select("name", "odd", "thin", "n", "least")
+    return cut(sized.mapInArrow(tidy(run), "name long").distinct(), "jaccard-thin")
+
+
+def _hot_edges(docs: DataFrame, signed: DataFrame, nodes: DataFrame, n: int, threshold: Fraction, seed: int) -> DataFrame:
+    """Edges (a, b) between nodes that cold signatures may miss, by the elements that open their sets."""
+    thin = _thin(signed, nodes, threshold)
+    if thin.isEmpty():
+        return thin.select(F.col("name").alias("a"), F.col("name").alias("b"))
+    members = cut(nodes.join(thin, "name", "left_semi").select("node", "name", "text_hash", "n", F.length("sketch").alias("size")), "jaccard-members")
+    texts = _having(docs, members.select("text_hash"))
+    prefixed = _prefixed(texts, n, threshold, seed, members.agg(F.sum("n")).first()[0], _rarity(texts, n, seed))
+    edges = _near_sketches(prefixed, nodes, threshold)
+    stars = prefixed.where(F.col("kind") == STAR)
+    if stars.isEmpty():
+        return edges
+    # A star's middle stands for its elements, not for the node it is named after.
+    met = components(stars.select((F.col("a") + MIDDLE).alias("a"), "b").distinct())
+    grouped = members.join(met.withColumnRenamed("node", "name"), "name").select("node", "root", _weight(F.col("size")).alias("weight"))
+    return edges.unionAll(_verified(grouped, nodes.select("node", F.col("sketch").alias("elements")), threshold, linked_sketches, SKETCHES * CHUNK))
+
+
+def _having(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text) of the documents whose text's hash is wanted (text_hash)."""
+    keyed = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    small = wanted.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(wanted) if small else wanted, "text_hash", "left_semi").select("text")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
@@ -356,9 +496,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
                 seen.update(fresh)
                 yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([found[k].tobytes() for k in fresh], pa.binary())], ["node", "elements"])
 
-    keyed = docs.select("text", F.xxhash64("text").alias("text_hash"))
-    small = wanted.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(wanted) if small else wanted, "text_hash", "left_semi").select("text").mapInArrow(tidy(run), "node long, elements binary")
+    return _having(docs, wanted).mapInArrow(tidy(run), "node long, elements binary")
 
 
 def linked(elements: list[bytes], threshold: Fraction) -> list[tuple[int, int]]:
@@ -501,7 +639,7 @@ def _rooted(rows: DataFrame, n: int, threshold: Fraction | float, seeds: int) ->
             raise ValueError("sets collide in their 64-bit hashes with every seed")
         distinct = cut(nodes.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("name", F.col("node").bitwiseAND(int(NAME))), "jaccard-distinct")
         signed = _signed(rows, n, threshold, seed, distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        candidates = components(_near_sketches(signed, distinct, threshold).unionAll(_hot_edges(signed, distinct, threshold)))
+        candidates = components(_near_sketches(signed, distinct, threshold).unionAll(_hot_edges(rows, signed, distinct, n, threshold, seed)))
         candidates = cut(candidates.join(distinct, "node").select("node", "root", "text_hash", _weight(8 * F.col("n")).alias("weight")), "jaccard-candidates")
         sets = cut(_sets(rows, candidates.select("text_hash"), n, seed), "jaccard-sets")
         roots = components(_verified(candidates, sets, threshold, linked, CHUNK))
