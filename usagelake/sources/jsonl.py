@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.location import located
-from .sanitize import context_kind, is_usage, sanitize
+from .sanitize import CONTEXT_KINDS, context_kind, is_usage, sanitize
 
 MOST_LINE_BYTES = 16 << 20
 
@@ -36,15 +36,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) is not None and len(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)) > 0
 
 
+def file_globs(spark: SparkSession, harness: str, root: str) -> tuple[list[str], bool]:
+    """(where there are files, whether at any depth)."""
+    source = SOURCES[harness]
+    if source.recursive:
+        return [p for f in source.folders if _exists(spark, p := f"{root}/{f}")], True
+    return [p for x in ("*.jsonl", "*.ndjson", "*/*.jsonl", "*/*.ndjson") if _exists(spark, p := f"{root}/{x}")], False
+
+
 def lines(spark: SparkSession, harness: str, root: str) -> DataFrame:
     """(path, ordinal, value): the lines of the harness's files; ordinals rise within a file."""
     source = SOURCES[harness]
-    if source.recursive:
-        paths = [p for f in source.folders if _exists(spark, p := f"{root}/{f}")]
-        reader = spark.read.option("recursiveFileLookup", "true")
-    else:
-        paths = [p for x in ("*.jsonl", "*.ndjson", "*/*.jsonl", "*/*.ndjson") if _exists(spark, p := f"{root}/{x}")]
-        reader = spark.read
+    paths, recursive = file_globs(spark, harness, root)
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
     if not paths:
         return spark.createDataFrame([], "path string, ordinal long, value string")
     name, path = F.element_at(F.split("_metadata.file_path", "/"), -1), F.col("_metadata.file_path")
@@ -83,7 +87,7 @@ def evidence(spark: SparkSession, harness: str, root: str, home: str = "") -> Da
         context_kind(h, F.col("data")).alias("kind"), is_usage(h, F.lit("jsonl"), F.col("data")).alias("is_usage"),
     ).where("is_usage or kind is not null")
     before = Window.partitionBy("source_id", "lineage").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = {"pi": ["session"], "codex": ["session_meta", "turn_context", "task_started"]}.get(harness, [])
+    kinds = CONTEXT_KINDS.get(harness, ())
     last = [F.last(F.when(F.col("kind") == k, F.struct("ordinal", "data", "diagnostics")), ignorenulls=True).over(before) for k in kinds]
     context = F.array_sort(F.array_compact(F.array(*last))) if kinds else F.array().cast("array<struct<ordinal:bigint,data:string,diagnostics:array<string>>>")
     place = F.last("place", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))

@@ -75,6 +75,10 @@ def is_usage(harness: Column, format_: Column, data: Column) -> Column:
     )
 
 
+#: Kinds of context of each harness that has any.
+CONTEXT_KINDS = {"pi": ("session",), "codex": ("session_meta", "turn_context", "task_started")}
+
+
 def context_kind(harness: Column, data: Column) -> Column:
     """Name of the context that a record carries for later ones; null if none."""
     kind, inner = F.get_json_object(data, "$.type"), F.get_json_object(data, "$.payload.type")
