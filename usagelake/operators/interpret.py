@@ -16,7 +16,7 @@ from ..functions.calendar import rfc3339_ms
 from ..functions.text import first_nonblank, integer, invalid_integer, nonblank, token_sum, tuple_hash
 from ..sources.sanitize import parsed
 from .context import next_value
-from .facts import LOCATION, SCOPE, valid
+from .facts import LOCATION, SCOPE, session_scope, valid
 from .resolve import ambiguity
 
 #: Other names of providers.
@@ -24,9 +24,35 @@ PROVIDER_ALIASES = {"fireworks-ai": "fireworks"}
 PI_ALIASES = {"openai-codex": "openai"}
 #: Types of records that carry something for later ones.
 CONTEXTS = {"pi": ("session",), "codex": ("session_meta", "turn_context", "event_msg")}
+#: Where a session's metadata names the one that it comes from.
+PARENTS = ("forked_from_id", "parent_thread_id", "source.subagent.thread_spawn.parent_thread_id")
 MODEL_PREFIX = "accounts/fireworks/models/"
 
 
+def evidence_id() -> Column:
+    return tuple_hash(F.col("harness"), F.col("format"), F.col("source_id"), F.col("lineage"), F.col("ordinal").cast("string"), F.col("data")).alias("evidence_id")
+
+
+def scoped(evidence: DataFrame) -> DataFrame:
+    """Evidence with evidence_id, scope (its session, or its source where it names none) and parents (scopes of the sessions that it
+    says it comes from)."""
+    h, own = F.col("harness"), F.struct(F.col("ordinal"), F.col("data"), F.col("diagnostics"))
+    all_ = F.concat(F.array(own), "context")
+    at = lambda c, path: F.nullif(F.get_json_object(c["data"], f"$.{path}"), F.lit(""))
+    of = lambda kind, path: F.try_element_at(F.array_compact(F.transform(F.filter(all_, lambda c: at(c, "type") == kind), lambda c: at(c, path))), F.lit(1))
+    plain = lambda path: F.nullif(F.get_json_object("data", f"$.{path}"), F.lit(""))
+    session = (
+        F.when(h == "opencode", plain("session_id")).when(h == "claude-code", F.coalesce(plain("sessionId"), plain("session_id")))
+        .when(h == "pi", of("session", "id")).when(h == "codex", of("session_meta", "payload.id"))
+    )
+    metas = F.filter(all_, lambda c: at(c, "type") == "session_meta")
+    named = lambda path: F.transform(metas, lambda c: at(c, path))
+    parents = F.array_distinct(F.array_compact(F.concat(*(named(f"payload.{p}") for p in PARENTS))))
+    scope = F.coalesce(session_scope(h, session), F.concat(h, F.lit(":source:"), tuple_hash(F.col("source_id"), F.col("lineage"))))
+    scopes = F.when(h == "codex", F.transform(parents, lambda p: session_scope(F.lit("codex"), p))).otherwise(F.array().cast("array<string>"))
+    return evidence.withColumns({"evidence_id": evidence_id(), "scope": scope, "parents": scopes})
+
+
 def _records(evidence: DataFrame, harness: str) -> DataFrame:
     """The harness's usage records, their data parsed once as __d and the latest context of each kind as __latest_<kind>."""
     rows = evidence.where((F.col("harness") == harness) & F.col("is_usage")).withColumn("__d", parsed(F.col("data"), harness))
@@ -107,7 +133,7 @@ def _candidate(rows: DataFrame, raw: dict[str, Column], alias_groups: list[list[
         F.coalesce(raw["message"], F.concat(F.lit("estimate:"), tuple_hash(F.col("source_id"), F.col("lineage"), F.col("ordinal").cast("string")))).alias("message_native_id"), F.coalesce(raw["request"], F.lit("")).alias("request_id"),
         raw["ms"].alias("occurred_at_ms"), provider.alias("provider"), source.alias("provider_source"), canonical_model(raw["model"], provider).alias("model"), F.lit(quality).alias("quality"),
         *(zero(c).alias(f"{n}_tokens") for n, c in (("input", i), ("output", o), ("reasoning", r), ("cache_read", read), ("cache_write", write))), summed.alias("total_tokens"), code.alias("code"), (~unusable).alias("__ok"),
-        tuple_hash(F.col("harness"), F.col("format"), F.col("source_id"), F.col("lineage"), F.col("ordinal").cast("string"), F.col("data")).alias("evidence_id"), "data",
+        evidence_id(), "data",
         *(F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in LOCATION), F.lit(SCOPE).alias("usage_scope"), *(c.alias(n) for n, c in (keep or {}).items()),
     )
     return out.withColumn("usable", F.col("__ok") & valid()).drop("__ok")

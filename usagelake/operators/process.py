@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import kept
 from .ancestry import resolve_copies
 from .facts import estimate_rows, fact_rows
-from .interpret import claude, codex, identified, opencode, pi
+from .interpret import claude, codex, evidence_id, identified, opencode, pi
 from .resolve import contributions, estimates, provenance, resolve
 
 _EXTRA = ("turn", "cumulative", "fingerprint")
@@ -37,6 +37,7 @@ def process(evidence: DataFrame, dataset: str = "default", generation: int = 1,
     good = resolve_copies(copies.where("usable"), rows).drop(*_EXTRA)
     resolved = kept(resolve(plain.where("usable").unionByName(good.select(*plain.columns))))
     bad = plain.where("not usable").select("evidence_id").unionByName(copies.where("not usable").select("evidence_id"))
-    outcomes = resolved.select("evidence_id", "fact_id", "disposition", F.col("outcome_code").alias("code")).unionByName(bad.select("evidence_id", F.lit("").alias("fact_id"), F.lit("ambiguous").alias("disposition"), F.lit("unusable_usage").alias("code")))
+    context = rows.where("not is_usage").select(evidence_id(), F.lit("").alias("fact_id"), F.lit("context").alias("disposition"), F.lit("").alias("code"))
+    outcomes = context.unionByName(resolved.select("evidence_id", "fact_id", "disposition", F.col("outcome_code").alias("code")).unionByName(bad.select("evidence_id", F.lit("").alias("fact_id"), F.lit("ambiguous").alias("disposition"), F.lit("unusable_usage").alias("code"))))
     at = (dataset, generation, revision)
     return Projection(fact_rows(contributions(resolved), *at), estimate_rows(estimates(resolved), *at), outcomes, provenance(resolved))
