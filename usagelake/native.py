@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ledger import table
+from .operators.ancestry import resolve_copies
+from .operators.interpret import codex, identified
 from .operators.process import Projection, process
 from .sources.sanitize import is_usage, sanitize
+from .storage import kept
 
 FIRST_MS = 1704067200000
 CONTEXT = "array<struct<ordinal:bigint,data:string,diagnostics:array<string>>>"
@@ -102,3 +105,83 @@ native AS (SELECT 'default' AS dataset_id, sha256('["fact-v1","default","' || ha
   sha256('["session-v1","default","' || harness || '","' || session_native_id || '"]') AS session_id, session_native_id, message_native_id, native_request_id, ms AS occurred_at_ms, provider, provider_source, model, 'message' AS usage_scope, quality, true AS countable,
   input_tokens, output_tokens, reasoning_tokens, cache_read_tokens, cache_write_tokens, input_tokens + output_tokens + reasoning_tokens + cache_read_tokens + cache_write_tokens AS total_tokens, '' AS directory_key, '' AS repository_key,
   CAST(1 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS input_revision, code FROM n)"""
+
+
+# Forked sessions ------------------------------------------------------------------------------------------------------
+#: Records of sessions that fork, one session for each user u, in SQL that both engines read. ev: (e, u, k) of all events. By u % 8:
+#: 0 a root, 1 and 2 forks of the user before, 3 a fork of nobody, 4 and 5 of each other, 6 with two parents, 7 a fork of that.
+#: s: the session's user; late: milliseconds after the event; ti and tout: cumulative counters (null: none).
+_FORK_ROWS = """r0 AS (SELECT u AS s, e, 't-' || e AS turn, 0 AS late, e * 10 AS ord, e * 1000 AS ti, e * 10 AS tout, k FROM ev
+UNION ALL SELECT u, e, 't-' || e || '-again', 500, e * 10 + 1, e * 1000, e * 10, k FROM ev WHERE e % 11 = 0
+UNION ALL SELECT u, e, 't-' || e || '-stale', 600, e * 10 + 2, e * 1000 - 500, e * 10, k FROM ev WHERE e % 13 = 0 AND e > 0
+UNION ALL SELECT u, e, 't-' || e || '-mid', 650, e * 10 + 3, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), k FROM ev WHERE e % 17 = 0
+UNION ALL SELECT u, e, 't-' || e, 700, e * 10 + 4, e * 1000, e * 10, k FROM ev WHERE e % 17 = 0
+UNION ALL SELECT u, e, 't-' || e, 0, e * 10 + 5, e * 1000, e * 10, k FROM ev WHERE e % 19 = 0
+UNION ALL SELECT u + 1, e, 't-' || e, 0, e * 10, e * 1000, e * 10, k FROM ev WHERE u % 8 IN (0, 1) AND e % 3 = 0
+UNION ALL SELECT u + 2, e, 't-' || e, 0, e * 10, e * 1000, e * 10, k FROM ev WHERE u % 8 = 0 AND e % 6 = 0
+UNION ALL SELECT u + 5, e, 't-' || e, 0, e * 10, e * 1000, e * 10, k FROM ev WHERE u % 8 = 1 AND e % 3 = 0
+UNION ALL SELECT u + 1, e, 't-' || e, 0, e * 10, e * 1000 + 1, e * 10, k FROM ev WHERE u % 8 = 0 AND e % 7 = 0 AND e % 3 <> 0),
+r AS (SELECT * FROM r0 WHERE s IN (SELECT u FROM ev))"""
+
+
+def forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of forked sessions: copies, records of one turn with other counters, repeated and stale snapshots, repeated records, models
+    that only a later turn names."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    struct = lambda **c: F.struct(*(x.alias(n) for n, x in c.items()))
+    usage = lambda i, o: struct(input_tokens=i, cached_input_tokens=F.lit(0), output_tokens=o, reasoning_output_tokens=F.lit(0), total_tokens=i + o)
+    record = lambda n, c: struct(ordinal=F.lit(n).cast("long"), data=F.to_json(c), diagnostics=F.array().cast("array<string>"))
+    e, s, k = F.col("e"), F.col("s"), F.col("k")
+    name = lambda c: _text("f-", c)
+    parent = F.when(s % 8 == 3, F.lit("f-none")).when((s % 8).isin(1, 2, 5, 7), name(s - 1)).when(s % 8 == 4, name(s + 1)).when(s % 8 == 6, name(s - 6))
+    metas = struct(type=F.lit("session_meta"), payload=struct(id=name(s), model_provider=F.lit("openai"), forked_from_id=parent, parent_thread_id=F.when(s % 8 == 6, name(s - 5))))
+    at = F.concat(F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST((e * 1000 + late) / 1000 AS DECIMAL(18, 6)))"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    info = struct(last_token_usage=usage(k % 100 + 1, k % 50 + 1), total_token_usage=F.when(F.col("ti").isNotNull(), usage(F.col("ti"), F.col("tout"))))
+    turn = lambda id_, model: struct(type=F.lit("turn_context"), payload=struct(turn_id=id_, model=model))
+    rows = spark.sql("WITH ev AS (SELECT * FROM {events}), " + _FORK_ROWS + " SELECT * FROM r", events=ev)
+    uses = rows.select(s.alias("s"), F.col("ord").alias("ordinal"), F.to_json(struct(timestamp=at, type=F.lit("event_msg"), payload=struct(type=F.lit("token_count"), info=info))).alias("value"), F.array(record(-2, metas), record(-1, turn(F.col("turn"), F.when(e % 20 != 0, _text("model-", k % 12))))).alias("context"))
+    later = ev.where("e % 40 = 0").select(F.col("u").alias("s"), (e * 10 + 9).alias("ordinal"), F.to_json(turn(_text("t-", e, "-late"), _text("late-", k % 12))).alias("value"), F.array().cast(CONTEXT).alias("context"))
+    clean = sanitize(uses.unionByName(later).withColumn("harness", F.lit("codex")), "codex")
+    return clean.select("harness", F.lit("jsonl").alias("format"), _text("src-", F.col("s")).alias("source_id"), F.lit("0").alias("lineage"), "ordinal", "data", "context", "diagnostics", is_usage(F.col("harness"), F.lit("jsonl"), F.col("data")).alias("is_usage"))
+
+
+def fork_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ancestry decides of each record of `forks`."""
+    evidence = kept(forks(spark, sf_dir))
+    found = resolve_copies(kept(identified(codex(evidence))), evidence)
+    return found.select("source_id", "ordinal", "model", "fact_id", "session_native_id", "code")
+
+
+def _fork_stage(level: int) -> str:
+    """One level of sessions, given the proofs of those before."""
+    proofs = " UNION ALL ".join(f"SELECT s, fp, fact, turn FROM d{i} WHERE code = '' AND fp <> '' AND first" for i in range(level)) or "SELECT s, fp, fact, turn FROM x WHERE false"
+    return f"""p{level} AS ({proofs}),
+i{level} AS (SELECT x.s, x.ord, count(*) AS n, min(fact_of) AS fact, min(owner) AS owner FROM x JOIN (SELECT a.s, p.s AS owner, p.fp, p.fact AS fact_of FROM anc a JOIN p{level} p ON p.s = a.a) q ON q.s = x.s AND q.fp = x.fp WHERE x.lvl = {level} GROUP BY x.s, x.ord),
+t{level} AS (SELECT DISTINCT a.s, p.turn FROM anc a JOIN p{level} p ON p.s = a.a),
+o{level} AS (SELECT x.*, coalesce(n, 0) AS n, t.turn IS NOT NULL AS in_turn, row_number() OVER (PARTITION BY x.s, x.fact ORDER BY ms, x.ord) AS copy FROM x LEFT JOIN i{level} i ON i.s = x.s AND i.ord = x.ord LEFT JOIN t{level} t ON t.s = x.s AND t.turn = x.turn WHERE x.lvl = {level} AND coalesce(n, 0) <> 1),
+h{level} AS (SELECT *, CASE WHEN turn <> lag(turn) OVER (PARTITION BY s ORDER BY ms, ord) THEN 1 ELSE 0 END AS new FROM o{level} WHERE copy = 1),
+g{level} AS (SELECT *, CASE WHEN role = 0 THEN 0 ELSE sum(new) OVER (PARTITION BY s ORDER BY ms, ord ROWS UNBOUNDED PRECEDING) END AS run FROM h{level}),
+m{level} AS (SELECT *, coalesce(ti + tout < max(ti + tout) OVER (PARTITION BY s, run ORDER BY ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM g{level}),
+n{level} AS (SELECT *, coalesce(ti || '/' || tout = last_value(CASE WHEN NOT stale THEN ti || '/' || tout END IGNORE NULLS) OVER (PARTITION BY s, run ORDER BY ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS same FROM m{level}),
+c{level} AS (SELECT *, CASE WHEN same THEN 'known_duplicate' WHEN stale THEN 'stale_snapshot' WHEN problem <> '' THEN problem WHEN fp = '' THEN 'unverifiable_snapshot' WHEN n > 1 THEN 'ambiguous_parent_fact' WHEN in_turn THEN 'uncertain_replay_boundary' ELSE '' END AS code FROM n{level}),
+d{level} AS (SELECT s, ord, model, fact, s AS owner, code, fp, turn, true AS first FROM c{level} UNION ALL SELECT o.s, o.ord, o.model, o.fact, o.s, c.code, o.fp, o.turn, false FROM o{level} o JOIN c{level} c ON c.s = o.s AND c.fact = o.fact WHERE o.copy > 1
+UNION ALL SELECT x.s, x.ord, x.model, i.fact, i.owner, 'known_duplicate', x.fp, x.turn, false FROM x JOIN i{level} i ON i.s = x.s AND i.ord = x.ord WHERE i.n = 1)"""
+
+
+_SNAPSHOT_TEXT = """'{"last":{"input_tokens":"' || (k % 100 + 1) || '","cached_input_tokens":"0","cache_read_input_tokens":null,"output_tokens":"' || (k % 50 + 1) || '","reasoning_output_tokens":"0","total_tokens":"' || (k % 100 + k % 50 + 2) || '"},"total":' ||
+CASE WHEN ti IS NULL THEN '{"input_tokens":null,"cached_input_tokens":null,"cache_read_input_tokens":null,"output_tokens":null,"reasoning_output_tokens":null,"total_tokens":null}'
+ELSE '{"input_tokens":"' || ti || '","cached_input_tokens":"0","cache_read_input_tokens":null,"output_tokens":"' || tout || '","reasoning_output_tokens":"0","total_tokens":"' || (ti + tout) || '"}' END || '}'"""
+
+FORKS_SQL = f"""WITH ev AS (SELECT event_id AS e, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), {_FORK_ROWS},
+users AS (SELECT DISTINCT u FROM ev), s0 AS (SELECT u AS s, u % 8 AS role, CASE u % 8 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN u + 1 WHEN 6 THEN u - 5 ELSE u - 1 END AS par FROM users),
+s1 AS (SELECT *, par IN (SELECT u FROM users) AS there, CASE role WHEN 2 THEN s - 2 WHEN 6 THEN s - 6 END IN (SELECT u FROM users) AS above FROM s0),
+s2 AS (SELECT *, CASE WHEN role = 0 THEN '' WHEN NOT coalesce(there, false) THEN 'missing_parent' WHEN role = 1 THEN '' WHEN role IN (4, 5) THEN CASE WHEN 'f-' || s < 'f-' || par THEN 'ancestry_cycle' ELSE 'unresolved_parent' END
+  WHEN role = 7 OR NOT above THEN 'unresolved_parent' WHEN role = 6 THEN 'conflicting_parent' ELSE '' END AS problem FROM s1),
+s3 AS (SELECT *, CASE WHEN role = 1 AND problem = '' THEN 1 WHEN role = 2 AND problem = '' OR problem = 'conflicting_parent' THEN 2 ELSE 0 END AS lvl FROM s2),
+anc AS (SELECT s, par AS a FROM s3 WHERE lvl > 0 UNION ALL SELECT s, par - 1 FROM s3 WHERE lvl = 2),
+lates AS (SELECT u AS s, e * 10 + 9 AS ord, 'late-' || (k % 12) AS model FROM ev WHERE e % 40 = 0),
+y AS (SELECT r.*, role, problem, lvl, 1704067200000 + e * 1000 + late AS ms, {_SNAPSHOT_TEXT} AS snapshot, CASE WHEN e % 20 <> 0 THEN 'model-' || (k % 12) ELSE coalesce((SELECT arg_min(l.model, l.ord) FROM lates l WHERE l.s = r.s AND l.ord > r.ord), 'unknown') END AS model FROM r JOIN s3 USING (s)),
+x AS (SELECT *, sha256('["fact-v1","default","codex","f-' || s || '","' || turn || ':' || ms || ':' || sha256(snapshot) || CASE WHEN ti IS NULL THEN ':line:' || ord ELSE '' END || '","","message"]') AS fact,
+  CASE WHEN ti IS NULL OR model = 'unknown' THEN '' ELSE turn || '|' || model || '|' || snapshot END AS fp FROM y),
+{_fork_stage(0)}, {_fork_stage(1)}, {_fork_stage(2)}
+SELECT 'src-' || s AS source_id, CAST(ord AS BIGINT) AS ordinal, model, fact AS fact_id, 'f-' || owner AS session_native_id, code FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)"""
