@@ -193,6 +193,17 @@ _SCOPES_SQL = """WITH scopes AS (SELECT 'scope-' || user_id AS scope, count(*) A
 CAST(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 2 END AS BIGINT) AS generation, CASE WHEN user_id % 9 = 0 THEN 'broken' ELSE '' END AS error, user_id * 100 AS retry_at_ms FROM events GROUP BY user_id)"""
 _add("status_counts", lambda s, d: relational.status_counts(_scopes(s, d)), _SCOPES_SQL + """ SELECT count(*) FILTER (processed_revision <> revision) AS pending, count(*) FILTER (processed_revision <> revision AND error <> '') AS failed,
 CAST(coalesce(min(retry_at_ms) FILTER (processed_revision <> revision AND error <> ''), 0) AS BIGINT) AS retry_at_ms FROM scopes""")
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ledger.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", "ambiguous").otherwise("processed").alias("disposition"), F.when(F.col("o_orderstatus") == "P", "unusable_usage").otherwise("").alias("code"))
+    scopes = _scopes(spark, sf_dir)
+    metadata = scopes.agg(F.max("revision").alias("input_revision")).select(F.lit(ledger.DATASET).alias("dataset_id"), F.lit(2).cast("long").alias("generation"), F.lit(2).cast("long").alias("target_generation"), "input_revision")
+    return relational.status(scopes, o, metadata)
+
+
+_add("status", _status, _SCOPES_SQL + f""" SELECT '{ledger.DATASET}' AS dataset_id, CAST(2 AS BIGINT) AS generation, CAST(2 AS BIGINT) AS target_generation, max(revision) AS input_revision, count(*) FILTER (waits) AS pending, count(*) FILTER (waits AND error <> '') AS failed,
+CAST(coalesce(min(retry_at_ms) FILTER (waits AND error <> ''), 0) AS BIGINT) AS retry_at_ms, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS unresolved FROM (SELECT *, processed_revision <> revision OR generation <> 2 AS waits FROM scopes)""")
 _add("eligible_scopes", lambda s, d: relational.eligible(_scopes(s, d), 2, 10_000), _SCOPES_SQL + " SELECT * FROM scopes WHERE (processed_revision <> revision OR generation <> 2) AND retry_at_ms <= 10000 ORDER BY revision, scope LIMIT 32")
 _add("keyset_page", lambda s, d: relational.keyset_page(ledger.table(s, d, "orders").select("o_custkey", "o_orderkey"), ("o_custkey", "o_orderkey"), (20, 500), 50), "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey > 20 OR (o_custkey = 20 AND o_orderkey > 500) ORDER BY 1, 2 LIMIT 50")
 
@@ -281,6 +292,15 @@ _add(
 )
 
 
+def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.facts(spark, sf_dir).select("session_native_id", "event_id", "model")
+    found = context.distinct_over(rows, "session_native_id", "event_id", "model", 5, "models")
+    return found.withColumn("models", F.array_join("models", ","))
+
+
+_add("sliding_distinct", _sliding, ledger.FACTS_SQL + """ SELECT session_native_id, event_id, array_to_string(list_sort(list_distinct(list(model) OVER (PARTITION BY session_native_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))), ',') AS models FROM facts""")
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ledger.table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -382,6 +402,11 @@ SELECT CASE code WHEN '' THEN 'processed' ELSE 'ambiguous' END AS disposition, C
 _NATIVE_QUERY = normalize(Query("providers", ALL))
 _add("native_dashboard", lambda s, d: dashboard.page(native.projection(s, d).facts, _NATIVE_QUERY, UTC), f"{native.SQL}, facts AS (SELECT *, '' AS directory_name, '' AS repository_name FROM native WHERE code = ''), grouped AS ({_sql_rows(_NATIVE_QUERY, UTC)}) SELECT * FROM grouped ORDER BY total DESC, key ASC LIMIT {_NATIVE_QUERY.page_size}")
 _add("usage_records", lambda s, d: native.evidence(s, d).groupBy("harness").agg(F.count_if("is_usage").alias("n"), F.count("*").alias("records")), f"{native.SQL} SELECT harness, count(*) AS n, count(*) AS records FROM native GROUP BY harness")
+_add("admission_rounds", lambda s, d: delivery.admitted(ledger.table(s, d, "events"), "user_id", F.octet_length("props"), 2_000, 8), """WITH RECURSIVE c AS (SELECT user_id AS component, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY user_id),
+p AS (SELECT *, CAST(component % 8 AS VARCHAR) AS worker, row_number() OVER (PARTITION BY component % 8 ORDER BY component) AS n FROM c),
+b AS (SELECT component, bytes, worker, n, CAST(0 AS BIGINT) AS round, bytes AS held FROM p WHERE n = 1
+UNION ALL SELECT p.component, p.bytes, p.worker, p.n, CASE WHEN held + p.bytes > 2000 THEN round + 1 ELSE round END, CASE WHEN held + p.bytes > 2000 THEN p.bytes ELSE held + p.bytes END FROM b JOIN p ON p.worker = b.worker AND p.n = b.n + 1)
+SELECT component, bytes, worker, round FROM b""")
 _add("fork_decisions", native.fork_decisions, native.FORKS_SQL)
 _add("fork_codes", lambda s, d: native.fork_decisions(s, d).groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("fact_id").alias("facts")), f"SELECT code, count(*) AS n, count(DISTINCT fact_id) AS facts FROM ({native.FORKS_SQL}) GROUP BY code")
 _add("batch_bytes", lambda s, d: delivery.batched(ledger.table(s, d, "pages"), F.expr("page_id div 100"), "page_id", F.octet_length("html"), 20, 100_000), """WITH RECURSIVE p AS (SELECT CAST(page_id // 100 AS VARCHAR) AS queue, page_id AS sequence, strlen(html) AS size, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS n FROM pages),

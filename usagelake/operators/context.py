@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +42,33 @@ def high_water(rows: DataFrame, session: str = "session_id", order: tuple[str, .
     mark = F.max(counter).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     code = F.when(F.col(counter) == mark, "known_duplicate").when(F.col(counter) < mark, "stale_snapshot").otherwise("")
     return numbered.withColumn("code", code).drop("__changed", "__run")
+
+
+def distinct_over(rows: DataFrame, key: str, order: str, value: str, preceding: int, name: str) -> DataFrame:
+    """(key, order, name): the distinct values, sorted, of a row and the `preceding` rows before it under its key; nulls don't count.
+    A value is counted when it enters the frame and when it leaves, so a row costs no more than what it shows: a frame collected
+    anew for each row would cost its length. A key's rows are in one task, in order; what is held is one frame."""
+    kinds = dict(rows.select(F.col(key).alias("k"), F.col(order).alias("o")).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, frame, counts, present = object(), deque(), Counter(), []
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != at:
+                    at, frame, counts, present = k, deque(), Counter(), []
+                if len(frame) > preceding and (gone := frame.popleft()) is not None:
+                    counts[gone] -= 1
+                    if not counts[gone]:
+                        del counts[gone], present[bisect_left(present, gone)]
+                frame.append(v)
+                if v is not None:
+                    counts[v] += 1
+                    if counts[v] == 1:
+                        insort(present, v)
+                out.append(list(present))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["k", "o", "values"])
+
+    narrow = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("string").alias("v"))
+    found = narrow.repartition("k").sortWithinPartitions("k", "o").mapInArrow(run, f"k {kinds['k']}, o {kinds['o']}, values array<string>")
+    return found.select(F.col("k").alias(key), F.col("o").alias(order), F.col("values").alias(name))

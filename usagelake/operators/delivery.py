@@ -31,3 +31,13 @@ def batched(rows: DataFrame, queue: Column, sequence: str, size: Column, most_ro
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["queue", "sequence", "batch"])
 
     return narrow.repartition("queue").sortWithinPartitions("queue", "sequence").mapInArrow(run, "queue string, sequence long, batch long")
+
+
+def admitted(rows: DataFrame, component: str, size: Column, most_bytes: int = MOST_BYTES, workers: int = 16) -> DataFrame:
+    """(component, bytes, worker, round): components dealt to workers, each of which takes as many in a round as the limit holds, in the
+    order of their ids; one beyond the limit has a round of its own. A component's bytes are summed before anything is dealt."""
+    sums = rows.groupBy(F.col(component).alias("component")).agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
+    worker = F.pmod(F.col("component"), F.lit(workers)).cast("string")
+    dealt = batched(sums, worker, "component", F.col("bytes"), 2**62, most_bytes)
+    rounds = dealt.select(F.col("sequence").alias("component"), F.col("queue").alias("worker"), F.col("batch").alias("round"))
+    return sums.join(rounds, "component")

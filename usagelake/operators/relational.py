@@ -93,6 +93,17 @@ def options_with_selected(options: DataFrame, selected: list[str]) -> DataFrame:
     return options.select("key", "name").unionByName(chosen.join(options, "key", "left_anti").select("key", F.when(F.col("key") == "", "unknown").otherwise(F.col("key")).alias("name")))
 
 
+def status(scopes: DataFrame, outcomes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The one row that a client polls. metadata: (dataset_id, generation, target_generation, input_revision), one row. With it, how many
+    scopes wait (for a revision or for the target generation), how many of these failed, the earliest retry (0: none), and how many
+    records couldn't be read."""
+    target = metadata.select("target_generation").first()[0]
+    waits = (F.col("processed_revision") != F.col("revision")) | (F.col("generation") != target)
+    counts = status_counts(scopes.where(waits).withColumns({"revision": F.lit(1), "processed_revision": F.lit(0)}))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(metadata).join(one(counts), "__one").join(one(unresolved(outcomes)), "__one").drop("__one")
+
+
 def filter_options(options: DataFrame, selected: list[str], missing_name: str = "", search: str = "") -> DataFrame:
     """(key, name) in the order of names as people sort them: options and selected keys that are missing among them, whose names
     hold the searched text in any case. A missing key is named missing_name, or itself; unknown stays unknown."""
