@@ -21,6 +21,16 @@ def test_without_the_training_data_part(tmp_path):
     assert done.stdout.split()[-1] == "0"
 
 
+def test_other_tests_stand_without_it(tmp_path):
+    """All of them can be collected with both folders gone, and a quick part of them passes."""
+    for folder in ("usagelake", "tests"):
+        shutil.copytree(os.path.join(ROOT, folder), tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    for what in (["--collect-only", "tests"], ["tests/test_plans.py"]):
+        done = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *what], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+        assert done.returncode == 0, done.stdout[-2000:]
+
+
 def test_nothing_imports_it():
     for folder, _, names in os.walk(os.path.join(ROOT, "usagelake")):
         if os.path.basename(folder) != "llm":

@@ -36,18 +36,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) is not None and len(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)) > 0
 
 
-def file_globs(spark: SparkSession, harness: str, root: str) -> tuple[list[str], bool]:
-    """(where there are files, whether at any depth)."""
+def file_globs(spark: SparkSession, harness: str, root: str, whole: bool = False) -> tuple[list[str], bool]:
+    """(where there are files, whether at any depth). whole: in the root itself, not in the harness's folders below it."""
     source = SOURCES[harness]
     if source.recursive:
-        return [p for f in source.folders if _exists(spark, p := f"{root}/{f}")], True
+        return [p for f in (("",) if whole else source.folders) if _exists(spark, p := f"{root}/{f}")], True
     return [p for x in ("*.jsonl", "*.ndjson", "*/*.jsonl", "*/*.ndjson") if _exists(spark, p := f"{root}/{x}")], False
 
 
-def lines(spark: SparkSession, harness: str, root: str) -> DataFrame:
+def lines(spark: SparkSession, harness: str, root: str, whole: bool = False) -> DataFrame:
     """(path, ordinal, value): the lines of the harness's files; ordinals rise within a file."""
     source = SOURCES[harness]
-    paths, recursive = file_globs(spark, harness, root)
+    paths, recursive = file_globs(spark, harness, root, whole)
     reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
     if not paths:
         return spark.createDataFrame([], "path string, ordinal long, value string")
@@ -72,10 +72,10 @@ def source_id(harness: str, root: str, path: Column) -> Column:
     return F.sha2(F.to_json(F.array(F.lit(harness), below)), 256)
 
 
-def evidence(spark: SparkSession, harness: str, root: str, home: str = "") -> DataFrame:
+def evidence(spark: SparkSession, harness: str, root: str, home: str = "", whole: bool = False) -> DataFrame:
     """Usage and context records with the latest context of each kind before them, and the location of the latest record up to
     them that names a directory. The directory itself goes no further."""
-    raw = lines(spark, harness, root)
+    raw = lines(spark, harness, root, whole)
     fit = raw.join(oversized(raw), "path", "left_anti").where(F.trim("value") != "")
     clean = sanitize(fit, harness).where(F.col("data").isNotNull())
     h = F.lit(harness)

@@ -23,6 +23,7 @@ _KEYS = {"": ("type", "payload", "message"), "payload": ("type",), "message": ("
 
 _SPACE, _PLAIN, _DIGITS = re.compile(rb"[ \t\n\r]*"), re.compile(rb'[^"\\\x00-\x1f]*'), re.compile(rb"[0-9]*")
 _ESCAPE = re.compile(rb'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})')
+_HALF = re.compile(rb"\\(?:u[0-9a-fA-F]{0,3})?\Z")  # an escape that the next chunk goes on with
 _LITERALS = {ord("t"): b"true", ord("f"): b"false", ord("n"): b"null"}
 #: Numbers: what may follow in each state, and the states in which one may end.
 _NUMBER = {"sign": {"0": "zero", "d": "whole"}, "zero": {".": "point", "e": "power"}, "whole": {"0": "whole", "d": "whole", ".": "point", "e": "power"}, "point": {"0": "part", "d": "part"}, "part": {"0": "part", "d": "part", "e": "power"}, "power": {"s": "signed", "0": "digits", "d": "digits"}, "signed": {"0": "digits", "d": "digits"}, "digits": {"0": "digits", "d": "digits"}}
@@ -87,7 +88,7 @@ class LineJudge:
             return self._flaw(end)
         found = _ESCAPE.match(buffer, end)
         if not found:
-            if len(buffer) - end < 6 and re.fullmatch(rb"\\(?:u[0-9a-fA-F]{0,3})?", buffer[end:]):
+            if len(buffer) - end < 6 and _HALF.match(buffer, end):
                 self._rest = b""
                 return None if at == end else end
             return self._flaw(end)

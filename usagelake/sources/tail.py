@@ -114,9 +114,9 @@ def _open(path: str) -> BinaryIO:
     return store.open_input_file(inside)
 
 
-def _files(spark: SparkSession, harness: str, root: str) -> DataFrame:
+def _files(spark: SparkSession, harness: str, root: str, whole: bool) -> DataFrame:
     """(source_id, path, modified, length): the listing only, no file is opened."""
-    globs, recursive = file_globs(spark, harness, root)
+    globs, recursive = file_globs(spark, harness, root, whole)
     if not globs:
         return spark.createDataFrame([], "source_id string, path string, modified timestamp, length long")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(globs)
@@ -124,12 +124,12 @@ def _files(spark: SparkSession, harness: str, root: str) -> DataFrame:
     return found.where(name.rlike(SOURCES[harness].name_pattern) & ~F.col("path").rlike(r"/(\.git|node_modules)/")).select(source_id(harness, root, F.col("path")).alias("source_id"), "path", F.col("modificationTime").alias("modified"), "length")
 
 
-def scan(spark: SparkSession, harness: str, root: str, cursors: DataFrame | None = None, failures: DataFrame | None = None, home: str = "", most: int = MOST_LINE_BYTES) -> Scan:
+def scan(spark: SparkSession, harness: str, root: str, cursors: DataFrame | None = None, failures: DataFrame | None = None, home: str = "", most: int = MOST_LINE_BYTES, whole: bool = False) -> Scan:
     """What has come to the harness's files since the scan that gave cursors and failures."""
     cursors = cursors if cursors is not None else spark.createDataFrame([], CURSOR)
     failures = failures if failures is not None else spark.createDataFrame([], FAILURE)
     signature = ["source_id", "modified", "length"]
-    files = _files(spark, harness, root).join(cursors.select(*signature), signature, "left_anti").join(failures.where(F.col("parser") == PARSER).select(*signature), signature, "left_anti")
+    files = _files(spark, harness, root, whole).join(cursors.select(*signature), signature, "left_anti").join(failures.where(F.col("parser") == PARSER).select(*signature), signature, "left_anti")
     changed = kept(files.join(cursors.select("source_id", "lineage", "offset", "ordinal", "prefix"), "source_id", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
