@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ledger, native
 from .functions import calendar, location, text
-from .operators import context, dashboard, delivery, graph, relational, resolve
+from .operators import context, dashboard, delivery, graph, outbox, relational, resolve
 from .operators.location import session_locations
 from .plans.query import Query, Selection, instants, normalize
 
@@ -407,6 +407,8 @@ p AS (SELECT *, CAST(component % 8 AS VARCHAR) AS worker, row_number() OVER (PAR
 b AS (SELECT component, bytes, worker, n, CAST(0 AS BIGINT) AS round, bytes AS held FROM p WHERE n = 1
 UNION ALL SELECT p.component, p.bytes, p.worker, p.n, CASE WHEN held + p.bytes > 2000 THEN round + 1 ELSE round END, CASE WHEN held + p.bytes > 2000 THEN p.bytes ELSE held + p.bytes END FROM b JOIN p ON p.worker = b.worker AND p.n = b.n + 1)
 SELECT component, bytes, worker, round FROM b""")
+_add("fork_scopes", native.fork_scopes, native.FORK_SCOPES_SQL)
+_add("outbox_numbers", lambda s, d: outbox.numbered(ledger.table(s, d, "orders").select("o_custkey", "o_orderkey"), ("o_custkey", "o_orderkey"), 100), "SELECT o_custkey, o_orderkey, 100 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS sequence FROM orders")
 _add("fork_decisions", native.fork_decisions, native.FORKS_SQL)
 _add("fork_codes", lambda s, d: native.fork_decisions(s, d).groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("fact_id").alias("facts")), f"SELECT code, count(*) AS n, count(DISTINCT fact_id) AS facts FROM ({native.FORKS_SQL}) GROUP BY code")
 _add("batch_bytes", lambda s, d: delivery.batched(ledger.table(s, d, "pages"), F.expr("page_id div 100"), "page_id", F.octet_length("html"), 20, 100_000), """WITH RECURSIVE p AS (SELECT CAST(page_id // 100 AS VARCHAR) AS queue, page_id AS sequence, strlen(html) AS size, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS n FROM pages),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .ledger import table
 from .operators.ancestry import resolve_copies
-from .operators.interpret import codex, identified
+from .operators.interpret import codex, identified, scoped
 from .operators.process import Projection, process
 from .sources.sanitize import is_usage, sanitize
 from .storage import kept
@@ -185,3 +185,14 @@ x AS (SELECT *, sha256('["fact-v1","default","codex","f-' || s || '","' || turn
   CASE WHEN ti IS NULL OR model = 'unknown' THEN '' ELSE turn || '|' || model || '|' || snapshot END AS fp FROM y),
 {_fork_stage(0)}, {_fork_stage(1)}, {_fork_stage(2)}
 SELECT 'src-' || s AS source_id, CAST(ord AS BIGINT) AS ordinal, model, fact AS fact_id, 'f-' || owner AS session_native_id, code FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)"""
+
+
+def fork_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope of each record of `forks` and the scopes that it depends on."""
+    return scoped(kept(forks(spark, sf_dir))).select("source_id", "ordinal", "scope", F.array_join("parents", ",").alias("parents"))
+
+
+FORK_SCOPES_SQL = f"""WITH ev AS (SELECT event_id AS e, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), {_FORK_ROWS}
+SELECT 'src-' || s AS source_id, CAST(ord AS BIGINT) AS ordinal, 'codex:session:f-' || s AS scope, CASE s % 8 WHEN 0 THEN '' WHEN 3 THEN 'codex:session:f-none' WHEN 4 THEN 'codex:session:f-' || (s + 1)
+  WHEN 6 THEN 'codex:session:f-' || (s - 6) || ',codex:session:f-' || (s - 5) ELSE 'codex:session:f-' || (s - 1) END AS parents FROM r
+UNION ALL SELECT 'src-' || u, CAST(e * 10 + 9 AS BIGINT), 'codex:source:' || sha256('["src-' || u || '","0"]'), '' FROM ev WHERE e % 40 = 0"""
