@@ -13,6 +13,7 @@ from .functions import calendar, location, text
 from .operators import context, dashboard, delivery, graph, outbox, relational, resolve
 from .operators.location import session_locations
 from .plans.query import Query, Selection, instants, normalize
+from .streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -415,3 +416,42 @@ _add("batch_bytes", lambda s, d: delivery.batched(ledger.table(s, d, "pages"), F
 b AS (SELECT queue, sequence, n, CAST(0 AS BIGINT) AS batch, 1 AS held, size AS bytes FROM p WHERE n = 1
 UNION ALL SELECT p.queue, p.sequence, p.n, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN batch + 1 ELSE batch END, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN 1 ELSE held + 1 END, CASE WHEN held = 20 OR bytes + p.size > 100000 THEN p.size ELSE bytes + p.size END FROM b JOIN p ON p.queue = b.queue AND p.n = b.n + 1)
 SELECT queue, sequence, batch FROM b""")
+
+
+# Progress of collectors -----------------------------------------------------------------------------------------------
+def _progress_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as attempts, 32 to an instance: the first event begins one, the others are heartbeats, 20 ms for each event."""
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
+    text = lambda value: F.lit(value).cast("string")
+    messages = ledger.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("i"), F.expr("user_id div 32").cast("string")).alias("instance_id"), (F.col("event_id") * 20).alias("received_at_ms"), F.col("event_id").alias("position"), F.when(first, "begin").otherwise("heartbeat").alias("operation"),
+        F.md5(F.col("user_id").cast("string")).alias("attempt_id"), text(None).alias("stage"), F.lit(None).cast("map<string,string>").alias("harnesses"), *(F.lit(None).cast("bigint").alias(c) for c in ("acknowledged_batches", "acknowledged_entries", "pending")), text(None).alias("error_code"),
+    )
+    return progress.follow(messages).where("answer <> ''").select("instance_id", "attempt_id", "position", "cause", "answer")
+
+
+_add("progress_answers", _progress_answers, f"""WITH m AS (SELECT event_id, user_id, event_id * 20 AS ms, row_number() OVER w AS n, event_id * 20 - lag(event_id * 20) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+l AS (SELECT *, coalesce(bool_or(gap >= {progress.LEASE_MS}) OVER (PARTITION BY user_id ORDER BY event_id), false) AS lost FROM m), e AS (SELECT *, max(ms) FILTER (NOT lost) OVER (PARTITION BY user_id) + {progress.LEASE_MS} AS expiry FROM l)
+SELECT 'i' || user_id // 32 AS instance_id, md5(CAST(user_id AS VARCHAR)) AS attempt_id, event_id AS position, CASE n WHEN 1 THEN 'begin' ELSE 'heartbeat' END AS cause,
+CASE WHEN NOT lost THEN 'accepted' WHEN ms - expiry < {progress.RETENTION_MS} THEN 'conflict' ELSE 'missing' END AS answer FROM e""")
+
+
+def _progress_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of users' attempts, with leases of half a day; attempts that ended are kept for two days."""
+    e, at = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    stage = F.element_at(F.array(*map(F.lit, progress.STAGES)), (e % 6 + 1).cast("int"))
+    log = ledger.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("i"), (F.col("user_id") % 20).cast("string")).alias("instance_id"), F.col("user_id").cast("string").alias("attempt_id"), at.alias("at_ms"), F.lit("update").alias("cause"), F.lit("accepted").alias("answer"), stage.alias("stage"),
+        F.lit(None).cast("map<string,string>").alias("harnesses"), e.alias("acknowledged_batches"), e.alias("acknowledged_entries"), F.lit(None).cast("bigint").alias("pending"), F.when(stage == "failed", "submission_failed").when(stage == "interrupted", "cancelled").otherwise("").alias("error_code"),
+        F.lit(0).cast("bigint").alias("started_at_ms"), at.alias("updated_at_ms"), (at + 43_200_000).alias("expires_at_ms"), F.when(stage.isin(*progress.ENDED), at).otherwise(0).alias("finished_at_ms"), e.alias("revision"),
+    )
+    found = progress.visible(progress.snapshot(log, NOW, 172_800_000))
+    return found.select("instance_id", "attempt_id", "stage", "label", "error_code", "acknowledged_batches", "updated_at_ms", "finished_at_ms")
+
+
+_add("progress_visible", _progress_visible, f"""WITH a AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, ['waiting', 'capturing', 'submitting', 'accepted', 'failed', 'interrupted'][event_id % 6 + 1] AS said FROM events WHERE epoch_us(ts) // 1000 <= {NOW} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+b AS (SELECT *, event_id % 6 < 3 AS open, event_id % 6 < 3 AND ms + 43200000 <= {NOW} AS lost FROM a), c AS (SELECT 'i' || user_id % 20 AS instance_id, CAST(user_id AS VARCHAR) AS attempt_id, CASE WHEN lost THEN 'interrupted' ELSE said END AS stage,
+  CASE WHEN lost THEN 'publisher_lost' WHEN said = 'failed' THEN 'submission_failed' WHEN said = 'interrupted' THEN 'cancelled' ELSE '' END AS error_code, event_id AS acknowledged_batches, CASE WHEN lost THEN ms + 43200000 ELSE ms END AS updated_at_ms,
+  CASE WHEN lost THEN ms + 43200000 WHEN open THEN 0 ELSE ms END AS finished_at_ms, open AND NOT lost AS active FROM b), d AS (SELECT * FROM c WHERE active OR finished_at_ms + 172800000 > {NOW})
+SELECT instance_id, attempt_id, stage, CASE WHEN error_code = 'submission_failed' THEN 'Submission failed' ELSE CASE stage WHEN 'waiting' THEN 'Waiting to collect' WHEN 'capturing' THEN 'Collecting usage' WHEN 'submitting' THEN 'Submitting usage' WHEN 'accepted' THEN 'Usage accepted'
+  WHEN 'failed' THEN 'Collection failed' ELSE 'Collection interrupted' END END AS label, error_code, acknowledged_batches, updated_at_ms, finished_at_ms FROM d QUALIFY active OR row_number() OVER (PARTITION BY instance_id, active ORDER BY updated_at_ms DESC, attempt_id DESC) = 1""")
