@@ -81,6 +81,9 @@ def test_quality(docs, empty):
 def test_rules_order_by_rejections_per_second(docs):
     rules = [quality.Rule("never", lambda f: f("n_words") < 0), quality.Rule("dear", lambda f: f("n_repeat_words") >= 0), quality.Rule("cheap", lambda f: f("n_words") >= 0)]
     assert [r.name for r in quality.order_rules(docs, "text", rules)] == ["cheap", "dear", "never"]
+    # Behind a report's counts, what it counts costs nothing, and letters still have to be found.
+    behind = [quality.Rule("letters", lambda f: f("n_letters") >= 0), *rules]
+    assert [r.name for r in quality.order_rules(docs, "text", behind, repeats=64, counted=True)][2:] == ["letters", "never"]
 
 
 def test_features_alone_and_together(docs):

@@ -84,15 +84,21 @@ def rules(min_words: int = 50, max_words: int = 1_000_000, max_repeat_pct: int =
     ]
 
 
-def order_rules(df: DataFrame, text_col: str, ordered: list[Rule], sample_rows: int = 256, repeats: int = 16, tries: int = 2) -> list[Rule]:
+def order_rules(df: DataFrame, text_col: str, ordered: list[Rule], sample_rows: int = 256, repeats: int = 16, tries: int = 2, counted: bool = False) -> list[Rule]:
     """The rules by rejections per second on at most sample_rows rows, those that Spark's incremental take reads first. The
     sample is written once; each rule judges every row of it `repeats` times, so that its own work outweighs a job's, and
-    the best of `tries` counts, less what reading and counting words takes by themselves. Ties keep the given order."""
-    sample = cut(df.select(whole_text(text_col).alias("t")).limit(sample_rows), "quality-sample").coalesce(1)
-    many = sample.select("t", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("i"))
+    the best of `tries` counts, less what reading and counting words takes by themselves. Ties keep the given order.
+    counted: the rules find all COUNTS made, as in a report, so that only what they need besides is timed."""
+    text = whole_text(text_col).alias("t")
+    sample = df.select(text).limit(sample_rows)
+    if counted:
+        sample = sample.select("t", _counts(F.col("t")).alias("c"))
+    sample = cut(sample, "quality-sample").coalesce(1)
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("i"))
     took = []
     for rule in [Rule("nothing", lambda f: f("n_words") < 0), *ordered]:
-        judged = many.agg(F.count_if(_by_text(F.col("t"), rule.rejects)).alias("hits"), F.count("*").alias("n"))
+        rejects = _by_counts(F.col("c"), F.col("t"), rule.rejects) if counted else _by_text(F.col("t"), rule.rejects)
+        judged = many.agg(F.count_if(rejects).alias("hits"), F.count("*").alias("n"))
         best = float("inf")
         for _ in range(tries):
             began = time.perf_counter()
@@ -116,10 +122,10 @@ def cascade(ordered: list[Rule], f: Get) -> Column:
     return out
 
 
-def report(text: Column, ordered: list[Rule]) -> Column:
-    """A struct of all COUNTS and rejected_by (null: kept). As every count is wanted, rules only spare what isn't among them."""
+def _counts(text: Column) -> Column:
+    """A struct of all COUNTS."""
     lines, words = _lines(text), words_of(text)
-    counted = let(
+    return let(
         words,
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -130,14 +136,22 @@ def report(text: Column, ordered: list[Rule]) -> Column:
             _repeated_words(w).alias("n_repeat_words"),
         ),
     )
-    verdict = lambda f: cascade(ordered, lambda name: f[name] if name in COUNTS else FEATURES[name](text))
-    return let(counted, lambda f: F.struct(*(f[c].alias(c) for c in COUNTS), verdict(f).alias("rejected_by")))
+
+
+def _by_counts(counts: Column, text: Column, body: Callable[[Get], Column]) -> Column:
+    """body with the features that are counted, and others computed where they are asked for."""
+    return body(lambda name: counts[name] if name in COUNTS else FEATURES[name](text))
+
+
+def report(text: Column, ordered: list[Rule]) -> Column:
+    """A struct of all COUNTS and rejected_by (null: kept). As every count is wanted, rules only spare what isn't among them."""
+    return let(_counts(text), lambda f: F.struct(*(f[c].alias(c) for c in COUNTS), _by_counts(f, text, lambda g: cascade(ordered, g)).alias("rejected_by")))
 
 
 def judge(df: DataFrame, text_col: str = "text", measure: bool = True, as_col: str = "quality") -> DataFrame:
     """df with its rows' reports in as_col; a column of that name is replaced."""
     found = rules()
-    return df.withColumn(as_col, report(whole_text(text_col), order_rules(df, text_col, found) if measure else found))
+    return df.withColumn(as_col, report(whole_text(text_col), order_rules(df, text_col, found, counted=True) if measure else found))
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", measure: bool = True) -> DataFrame:
