@@ -2,7 +2,7 @@ from datetime import date
 
 import pytest
 
-from usagelake.functions.calendar import start_of_day
+from usagelake.functions.calendar import NO_ZONE, reporting_zone, resolve_zone, spark_zone, start_of_day
 from usagelake.plans import view
 from usagelake.plans.query import InvalidQuery, Query, Selection, instants, normalize, period_days
 
@@ -96,3 +96,27 @@ def test_limits(spark):
     assert dashboard.dashboard(facts(row(1, 1), row(2, 1)), q, dashboard.Clock(0), max_rows=2).rows.count() == 2
     with pytest.raises(PySparkException, match="aggregate_limit"):
         dashboard.summary(facts(row(1, 2**52), row(2, 2**52)), normalize(q), dashboard.Clock(0)).collect()
+
+
+def test_zones_that_servers_advertise():
+    assert resolve_zone("UTC+05:30") == ("UTC+05:30", "@19800") and resolve_zone("UTC-00:30") == ("UTC-00:30", "@-1800") and spark_zone(resolve_zone("UTC-03:30")[1]) == "-03:30"
+    assert resolve_zone("Europe/Berlin") == ("Europe/Berlin", "Europe/Berlin") and resolve_zone("UTC") == ("UTC", "UTC")
+    for bad in ("", "Local", "UTC+24:00", "UTC+05:60", "UTC+5:30", "UTC+05:30\n", "UTC+٠٥:٣٠", "Nowhere/City", "America", "../etc/passwd", "/etc/localtime", "+05:30"):
+        assert resolve_zone(bad) == (NO_ZONE, "UTC")
+
+
+def test_zone_to_advertise():
+    assert reporting_zone({"TZ": ":Asia/Tokyo"}, "/usr/share/zoneinfo/Europe/Berlin") == "Asia/Tokyo" and reporting_zone({"TZ": ""}, "/usr/share/zoneinfo/Europe/Berlin") == "Europe/Berlin"
+    assert reporting_zone({"TZ": "/usr/share/zoneinfo/Asia/Tokyo"}) == "Asia/Tokyo" and reporting_zone({"TZ": "Asia/Tokyo"}, configured="Europe/Berlin") == "Europe/Berlin"
+    assert reporting_zone({}, "", 19800) == "UTC+05:30" and reporting_zone({"TZ": "wrong"}, "/usr/share/zoneinfo/Europe/Berlin", -12600) == "UTC-03:30" and reporting_zone({}, "/etc/other", configured="Local") == "UTC+00:00"
+
+
+def test_cells_of_rows(spark):
+    from usagelake.operators import dashboard
+
+    assert set(view.COUNTED.values()) | set(view.NAMED) | {"location_key"} <= set(dashboard.ROW)
+    row = {"name": "n", "harness": "pi", "provider": "p", "model": "m", "location_key": "unknown", **{f: i for i, f in enumerate(view.COUNTED.values())}}
+    assert [view.row_value(row, c) for c in view.COUNTED] == list(range(11)) and view.row_value(row, "name") is None and view.row_value(row, "date") is None
+    assert [view.row_text(row, c) for c in (*view.NAMED, "total", "date")] == ["n", "pi", "p", "m", "", ""]
+    assert all(c in view.COUNTED or c in view.NAMED or c in ("date", "providers", "harnesses", "models") for columns in view.COLUMNS.values() for c in columns)
+    assert view.is_unknown_location(row, "repo") and not view.is_unknown_location(row, "models") and not view.is_unknown_location(row | {"location_key": "k"}, "repo")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from datetime import date, datetime, timedelta, timezone, tzinfo
 from zoneinfo import ZoneInfo
 
@@ -46,3 +48,35 @@ def rfc3339_ms(text: Column) -> Column:
     """Milliseconds of a strict RFC 3339 time, rounded down; null for anything else (bare dates too)."""
     shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
     return F.when(text.rlike(shape), F.unix_millis(F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp")))
+
+
+#: Fixed value: what a zone is called that can't be resolved; its times are UTC's.
+NO_ZONE = "UTC (server timezone unavailable)"
+
+
+def is_zone(name: str) -> bool:
+    """Whether a zone database has the name."""
+    try:
+        return name not in ("", "Local") and ZoneInfo(name) is not None
+    except (KeyError, ValueError, OSError):
+        return False
+
+
+def resolve_zone(advertised: str) -> tuple[str, str]:
+    """(label, zone in this module's notation) of a zone as servers advertise it: UTC+hh:mm or an IANA name."""
+    if fixed := re.fullmatch(r"UTC([+-])([0-9]{2}):([0-9]{2})", advertised):
+        sign, hours, minutes = fixed[1], int(fixed[2]), int(fixed[3])
+        if hours < 24 and minutes < 60:
+            return advertised, f"@{'-' if sign == '-' else ''}{hours * 3600 + minutes * 60}"
+    elif is_zone(advertised):
+        return advertised, advertised
+    return NO_ZONE, "UTC"
+
+
+def reporting_zone(environment: Mapping[str, str], localtime: str = "", offset_seconds: int = 0, configured: str = "") -> str:
+    """The zone to advertise: the configured name, else that of TZ or of what /etc/localtime points at, as only names know past
+    changes of the clock; else the offset that holds now."""
+    told = environment.get("TZ", "").removeprefix(":") or localtime
+    names = (configured, told.split("zoneinfo/", 1)[-1])
+    hours, rest = divmod(abs(offset_seconds), 3600)
+    return next(filter(is_zone, names), f"UTC{'-' if offset_seconds < 0 else '+'}{hours:02d}:{rest // 60:02d}")

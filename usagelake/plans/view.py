@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
+from typing import Any
 from urllib.parse import parse_qs, urlencode
 
 from .query import SORTS, InvalidQuery, Query, Selection, period_days
@@ -245,3 +247,23 @@ def status(sync: Sync, connection_failed: bool = False, refresh_failed: bool = F
         (sync.pending and sync.backoff, "Processing retry pending", "attention"), (sync.pending, "Processing usage", "loading"), (sync.loading, "Loading…", "loading"), (fetching and loaded, "Refreshing usage…", "loading"), (fetching, "Loading…", "loading"), (facets_pending, "Loading filters…", "loading"),
     ]
     return next(((label, tone) for holds, label, tone in ranked if holds), ("Ready", "ready"))
+
+
+#: Columns of a table by what kind of cell they have, and the row's field that each shows.
+COUNTED = {"total": "total", "input": "input", "output": "output", "reasoning": "reasoning", "cacheRead": "cache_read", "cacheWrite": "cache_write", "sessions": "sessions", "context": "context", "averageContext": "average_context", "medianContext": "median_context", "maxContext": "max_context"}
+NAMED = ("name", "harness", "provider", "model")
+
+
+def row_value(row: Mapping[str, Any], column: str) -> int | None:
+    """A row's count in a column; None in a column of text."""
+    return row[COUNTED[column]] if column in COUNTED else None
+
+
+def row_text(row: Mapping[str, Any], column: str) -> str:
+    """A row's text in a column; '' in others."""
+    return row[column] if column in NAMED else ""
+
+
+def is_unknown_location(row: Mapping[str, Any], tab: str) -> bool:
+    """Whether the row stands for usage without a known place, which is named so beside the directories that it had."""
+    return tab == "repo" and row["location_key"] == "unknown"
