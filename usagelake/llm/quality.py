@@ -85,8 +85,8 @@ def rules(min_words: int = 50, max_words: int = 1_000_000, max_repeat_pct: int =
 
 
 def order_rules(df: DataFrame, text_col: str, ordered: list[Rule], sample_rows: int = 256, repeats: int = 16, tries: int = 2, counted: bool = False) -> list[Rule]:
-    """The rules by rejections per second on at most sample_rows rows, those that Spark's incremental take reads first. The
-    sample is written once; each rule judges every row of it `repeats` times, so that its own work outweighs a job's, and
+    """The rules by rejections per second on at most sample_rows rows. Each task that reads the table gives sample_rows rows at most,
+    and the first that come are the sample, whose choice changes the order only. It is written once; each rule judges every row of it `repeats` times, so that its own work outweighs a job's, and
     the best of `tries` counts, less what reading and counting words takes by themselves. Ties keep the given order.
     counted: the rules find all COUNTS made, as in a report, so that only what they need besides is timed."""
     text = whole_text(text_col).alias("t")
