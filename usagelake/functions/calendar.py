@@ -64,7 +64,7 @@ def is_zone(name: str) -> bool:
 
 def resolve_zone(advertised: str) -> tuple[str, str]:
     """(label, zone in this module's notation) of a zone as servers advertise it: UTC+hh:mm or an IANA name."""
-    if fixed := re.fullmatch(r"UTC([+-])([0-9]{2}):([0-9]{2})", advertised):
+    if fixed := re.match(r"UTC([+-])([0-9]{2}):([0-9]{2})\Z", advertised):
         sign, hours, minutes = fixed[1], int(fixed[2]), int(fixed[3])
         if hours < 24 and minutes < 60:
             return advertised, f"@{'-' if sign == '-' else ''}{hours * 3600 + minutes * 60}"
