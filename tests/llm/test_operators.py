@@ -341,6 +341,16 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "rule", "verdict"),
+    [("http://a.com/en/1", "com/en/", "block"), ("http://example.com/en/71", "example.com/en/7", "allow"), ("http://spam.net/de/1", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"), ("http://example.net/de/7", "net/de/", "allow"), ("http://a.org/es/1", "org/es/", "block")],
+)
+def test_urls_by_the_contract(spark, tmp_path, url, rule, verdict):
+    """Each rule's word is the contract's, whatever the method's words say of the host."""
+    spark.createDataFrame([(1, url)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [(r["rule"], r["verdict"]) for r in queries.op6_urls(spark, str(tmp_path)).collect()] == [(rule, verdict)]
+
+
 def _shingles(t, n):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
