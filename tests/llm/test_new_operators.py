@@ -159,6 +159,23 @@ def test_alignment(spark, monkeypatch):
     assert got == Counter((r[0], *w[:3], len(w[3]), sum(count[x] == most[x[1]] for x in w[3]), sum(count[x] for x in w[3]), w[4]) for r, w in zip(rows, wanted, strict=True))
 
 
+def test_alignment_in_parts(spark, monkeypatch):
+    """A block of several parts and batches gives the same, and no row gathers a block's texts or counts."""
+    monkeypatch.setattr(alignment, "AT_ONCE", 300, raising=False)
+    monkeypatch.setattr(alignment, "ROWS", 7, raising=False)
+    a, b = queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model")
+    texts = [*TEXTS, *(f"word{i % 7} of text {i % 11}, line {i}.\n" * (i % 5) for i in range(60))]
+    rows = [(i, t, "en", "s", 0.5) for i, t in enumerate(texts)]
+    wanted, count = _aligned(texts), Counter()
+    for w in wanted:
+        count.update(w[3])
+    found = alignment.align(spark.createDataFrame(rows, DOCS).repartition(2), a, b)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "codes" in plan
+    got = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["count_sum"], r["groups"]) for r in found.collect()}
+    assert got == {i: (*w[:3], len(w[3]), sum(count[x] for x in w[3]), w[4]) for i, w in enumerate(wanted)}
+
+
 def test_alignment_of_nothing(spark):
     a, b = queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model")
     assert alignment.align(spark.createDataFrame([], DOCS), a, b).count() == 0

@@ -8,7 +8,8 @@ token goes across two texts.
 How often an id pair is linked in the whole corpus comes from a shuffle of the pairs of a block of texts, each pair once
 with its number of links, and goes back to the blocks in a second one. What the blocks say of their texts waits in a table
 in the shared folder, links as numbers of the block's pairs: texts are encoded once, no shuffle carries a row for a token,
-and nothing that grows with the corpus is broadcast or collected.
+and nothing that grows with the corpus is broadcast or collected. No row is larger than a text's: a block is aligned in parts,
+and its counts come back as rows of their own, sorted before its texts, so that a task holds one block's counts at a time.
 
 Defined cases: texts that are null or empty, or whose tokens' bytes of either side aren't the text behind a space, have no
 tokens: counts are 0 and the digest is empty; special tokens' strings in a text are text; repeated rows count as often as they
@@ -32,8 +33,12 @@ from .store import cut, scratch
 from .tokens import Encoder, encoder
 from .wordhash import bounded
 
-#: Bytes of texts that are aligned at once.
-BLOCK = 4_000_000
+#: Bytes of texts whose pairs are numbered and counted together, and of those that are aligned at once.
+BLOCK, AT_ONCE = 4_000_000, 500_000
+#: Rows of pairs in an Arrow batch; the first number of a block's texts, behind those of all pairs.
+ROWS, _DOCS = 10_000, 1 << 40
+#: Pieces that each of a worker's two memos holds: two workers and a JVM that uses its whole heap share an executor.
+PIECES = 250_000
 _DOC = "id {}, n_a long, n_b long, n_groups long, n_links long, groups string"
 
 
@@ -121,59 +126,96 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col: str = "do
     doc = _DOC.format(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = encoder(tokenizer_a, "gaps", plain=True), encoder(tokenizer_b, "gaps", plain=True)
+        a, b = (encoder(t, "gaps", plain=True, max_pieces=PIECES) for t in (tokenizer_a, tokenizer_b))
         bytes_a, bytes_b, names = _vocabularies(a, b)
         task, blocks = TaskContext.get().partitionId(), 0
 
-        def block(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-            nonlocal blocks
+        def aligned(ids: list[pa.Array], texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Columns of the texts, how many links each has, the different pairs, how many links each has, and each link's pair."""
             both = Aligned(texts, a.encode(texts), b.encode(texts), bytes_a, bytes_b)
             pairs, link, n = np.unique(both.links, return_inverse=True, return_counts=True)
-            ranks = np.argsort(np.argsort(-n, kind="stable"), kind="stable")  # frequent pairs get small numbers
-            order = np.argsort(ranks)
-            ends = np.concatenate([[0], np.cumsum(both.n_links)])
-            codes = ranks[link.reshape(-1)].astype("<u4")
-            columns = [ids, *(pa.array(x.astype(np.int64)) for x in (both.n_a, both.n_b, both.n_groups, both.n_links)), pa.array(both.digests(names)), pa.array([codes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
-            docs_of = pa.StructArray.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "codes"])
-            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            blocks += 1
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | blocks - 1]), whole(docs_of), whole(pa.array(pairs[order])), whole(pa.array(n[order].astype(np.int64)))], ["block", "docs", "pairs", "n"])
-
-        ids, texts, size = [], [], 0
+            columns = [pa.concat_arrays(ids), *(pa.array(x.astype(np.int64)) for x in (both.n_a, both.n_b, both.n_groups, both.n_links)), pa.array(both.digests(names), pa.string())]
+            return columns, both.n_links, pairs, n, link.reshape(-1).astype(np.uint32)
+
+        def block(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal blocks
+            number, blocks = task << 32 | blocks, blocks + 1
+            pairs, place = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+            place = place.reshape(-1)
+            n = np.bincount(place, np.concatenate([p[3] for p in parts]), len(pairs)).astype(np.int64)
+            order = np.argsort(-n, kind="stable")  # frequent pairs get small numbers
+            ranks = np.empty(len(pairs), "<u2" if len(pairs) <= 1 << 16 else "<u4")
+            ranks[order] = np.arange(len(pairs))
+            none = lambda rows, kinds: [pa.nulls(rows, k) for k in kinds]
+            own = [*(c.type for c in parts[0][0]), pa.binary()]
+            for i in range(0, len(order), ROWS):
+                some = order[i : i + ROWS]
+                numbers = pa.array(np.full(len(some), number)), pa.array(np.arange(i, i + len(some)))
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(pairs[some]), pa.array(n[some]), *none(len(some), own)], names=columns_of)
+            at = _DOCS
+            for columns, n_links, pairs_of, _, link in parts:
+                codes = ranks[place[: len(pairs_of)]][link]
+                place = place[len(pairs_of) :]
+                ends = np.concatenate([[0], np.cumsum(n_links)])
+                rows, texts = len(n_links), pa.array([codes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, number)), pa.array(np.arange(at, at + rows)), *none(rows, [pa.int64()] * 2), *columns, texts], names=columns_of)
+                at += rows
+
+        ids, texts, size, parts, held = [], [], 0, [], 0
         for batch in batches:
             raw = [b" " + t if t else b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for part in bounded(raw, BLOCK):
+            for part in bounded(raw, min(BLOCK, AT_ONCE)):
                 ids.append(batch.column(0).slice(part.start, part.stop - part.start))
                 texts += [t or b" " for t in raw[part]]
                 size += sum(map(len, raw[part]))
-                if size >= BLOCK:
-                    yield block(pa.concat_arrays(ids), texts)
+                if size >= min(BLOCK, AT_ONCE):
+                    parts.append(aligned(ids, texts))
+                    held += size
                     ids, texts, size = [], [], 0
-                    _release()
+                    if held >= BLOCK:
+                        yield from block(parts)
+                        parts, held = [], 0
+                        _release()
         if texts:
-            yield block(pa.concat_arrays(ids), texts)
+            parts.append(aligned(ids, texts))
+        if parts:
+            yield from block(parts)
         _release()
 
+    columns_of = ["block", "at", "pair", "n", *(c.split()[0] for c in doc.split(", ")), "codes"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with scratch():
-        blocks = cut(rows.mapInArrow(run, f"block long, docs array<struct<{doc.replace(' ', ':').replace(',:', ',')},codes:binary>>, pairs array<long>, n array<long>"), "aligned", result=True)
-        linked = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.n").alias("n"))
+        blocks = cut(rows.mapInArrow(run, f"block long, at long, pair long, n long, {doc}, codes binary"), "aligned", result=True)
+        linked = blocks.where("pair is not null").select("block", "at", "pair", "n")
         counts = cut(linked.groupBy("pair").agg(F.sum("n").alias("count")), "pair-counts", result=True)
         most = counts.groupBy((F.col("pair").bitwiseAND(0xFFFFFFFF)).alias("b")).agg(F.max("count").alias("most"))
         known = counts.join(most, F.col("pair").bitwiseAND(0xFFFFFFFF) == F.col("b")).select("pair", (2 * F.col("count") + (F.col("count") == F.col("most")).cast("long")).alias("known"))
-        back = linked.select("block", "at", "pair").join(known, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "known")).alias("known"))
-    values = F.transform(F.array_sort("known"), lambda k: k["known"])
-    joined = blocks.select("block", "docs").join(back, "block", "left").select("docs", values.alias("known"))
+        back = linked.select("block", "at", "pair").join(known, "pair").select("block", "at", "known")
+    texts_of = blocks.where("codes is not null").drop("pair", "n")
+    # A block's counts come first, in the order of its pairs' numbers, and its texts after them.
+    both = back.unionByName(texts_of, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, known = None, [], np.empty(0, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows, known = batch.column(0)[i].values, batch.column(1)[i].values
-                known = known.to_numpy(zero_copy_only=False) if known is not None else np.empty(0, np.int64)
-                codes = np.frombuffer(b"".join(rows.field("codes").to_pylist()), "<u4")
-                n = rows.field("n_links").to_numpy()
+            own = batch.column("block").to_numpy()
+            edges = [*np.flatnonzero(np.diff(own, prepend=own[:1] - 1)).tolist(), len(own)] if len(own) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if own[i] != of:
+                    of, counts, known = own[i], [], np.empty(0, np.int64)
+                here = batch.slice(i, j - i)
+                first = here.column("codes").null_count
+                if first:
+                    counts.append(here.column("known").slice(0, first).to_numpy(zero_copy_only=False).astype(np.int64))
+                if first == here.num_rows:
+                    continue
+                if counts:
+                    known, counts = np.concatenate([known, *counts]), []
+                rows = here.slice(first)
+                n = rows.column("n_links").to_numpy()
+                codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2" if len(known) <= 1 << 16 else "<u4")
                 found = known[codes]
                 sums = [pa.array(_sums(found & 1, n)), pa.array(_sums(found >> 1, n))]
-                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups")), *sums], ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups")), *sums], ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"])
 
-    return joined.mapInArrow(scored, f"{doc}, n_best long, count_sum long").withColumnRenamed("id", id_col)
+    return both.mapInArrow(scored, f"{doc}, n_best long, count_sum long").withColumnRenamed("id", id_col)

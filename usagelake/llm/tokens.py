@@ -253,11 +253,12 @@ class PieceEncoder(Encoder):
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cut: str, plain: bool = False) -> Encoder:
+def encoder(path: str, cut: str, plain: bool = False, max_pieces: int = 1_000_000) -> Encoder:
     """One encoder for each tokenizer in a Python worker, kept from task to task."""
-    if (path, cut, plain) not in _encoders:
-        _encoders[path, cut, plain] = PieceEncoder(path, cut, plain=plain) if path.endswith(".model") else Encoder(path, cut, plain=plain)
-    return _encoders[path, cut, plain]
+    key = path, cut, plain, max_pieces
+    if key not in _encoders:
+        _encoders[key] = (PieceEncoder if path.endswith(".model") else Encoder)(path, cut, max_pieces, plain)
+    return _encoders[key]
 
 
 def encoded(batch: pa.RecordBatch, own: Encoder, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
