@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagelake import native, storage
+from usagelake.operators.process import process
 
 DATA = "/root/testdata/sf0.01"
 
@@ -50,3 +51,11 @@ def test_decisions_of_forks_need_no_join(spark):
     found = native.fork_decisions(spark, DATA)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert _added(spark, before) < 400 * found.count()
+
+
+def test_projection_leaves_results_only(spark):
+    evidence, before = native.evidence(spark, DATA), _files(spark)
+    made = process(evidence)
+    rows = made.outcomes.count()
+    assert rows == 10_000
+    assert _added(spark, before) < 500 * rows
