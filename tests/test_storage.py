@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from usagelake import native, storage
+from usagelake import catalog, native, storage
 from usagelake.operators.process import process
 
 DATA = "/root/testdata/sf0.01"
@@ -53,6 +53,13 @@ def test_decisions_of_forks_need_no_join(spark):
     assert _added(spark, before) < 400 * found.count()
 
 
+def test_codes_count_facts_as_bytes(spark):
+    """What goes through the shuffle of the distinct count is 32 bytes of a fact's id, not its text, and nothing is joined before."""
+    found = catalog.QUERIES["fork_codes"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "count(distinct unhex" in plan
+
+
 def test_projection_leaves_results_only(spark):
     evidence, before = native.evidence(spark, DATA), _files(spark)
     made = process(evidence)
